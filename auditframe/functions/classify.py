@@ -122,6 +122,27 @@ def comment_lines(text: Column, comment_marker: str = "#") -> Column:
     return F.size(F.filter(_file_lines(text), lambda line: strip(line).startswith(comment_marker)))
 
 
+def line_counts(path: Column, text: Column) -> Column:
+    """Line counts of a source file by the rule of its language, NULL for other files.
+
+    Python files get all counts; for the others only the lines that count as code are known.
+    """
+    name = language(path)
+    python = name == "Python"
+    loc = (
+        F.when(python, physical_lines(text))
+        .when(name.isin("JavaScript", "TypeScript"), code_lines(text))
+        .when(name.isin("Go", "Java"), code_lines(text, "//"))
+    )
+    counts = F.struct(
+        name.alias("language"),
+        loc.alias("loc"),
+        F.when(python, comment_lines(text)).alias("comments"),
+        F.when(python, blank_lines(text)).alias("blank"),
+    )
+    return F.when(name.isin("Python", "JavaScript", "TypeScript", "Go", "Java"), counts)
+
+
 def is_under_commented(comments: Column, sloc: Column) -> Column:
     """Fewer than one comment line in ten source lines; rows without counts are flagged."""
     return F.coalesce(comments, F.lit(0)) < F.coalesce(sloc, F.lit(1)) * F.lit(0.1)

@@ -177,7 +177,17 @@ def redact_value(value: Column, data_type: T.DataType, level: str = "medium", **
 
 
 def redact_frame(df: DataFrame, level: str = "medium", **known: str | None) -> DataFrame:
-    """Redact every text of every column, at any depth."""
-    return df.select(
-        *[redact_value(F.col(f"`{f.name}`"), f.dataType, level, **known).alias(f.name) for f in df.schema.fields]
-    )
+    """Redact every text of every column, at any depth.
+
+    The text columns go through the rules as one array, so that the plan holds the rules once.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    redacted = F.transform(F.array(*[F.col(f"`{c}`") for c in texts]), lambda t: redact_text(t, level, **known))
+    packed = df.withColumn("__texts", redacted) if texts else df
+
+    def column(field: T.StructField) -> Column:
+        if field.name in texts:
+            return F.element_at("__texts", texts.index(field.name) + 1)
+        return redact_value(F.col(f"`{field.name}`"), field.dataType, level, **known)
+
+    return packed.select(*[column(f).alias(f.name) for f in df.schema.fields])

@@ -27,20 +27,23 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: By = (), rank: str
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: By, how: str = "inner") -> DataFrame:
+    """Equi-join on columns both sides have. Keys compare NULL-safe, so rows without a repository stay."""
+    renamed = right.withColumnsRenamed({c: f"__{c}" for c in keys})
+    condition = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return left.join(renamed, condition, how).drop(*[f"__{c}" for c in keys])
+
+
 def join_groups(left: DataFrame, right: DataFrame, by: By, how: str = "left") -> DataFrame:
     """Add the columns of ``right``, which has one row per group, to ``left``.
 
-    Keys compare NULL-safe, so rows without a repository stay. Without groups ``right`` is one row and
-    becomes a scalar subquery rather than a join.
+    Without groups ``right`` is one row and becomes a scalar subquery rather than a join.
     """
-    added = [c for c in right.columns if c not in by]
-    if not by:
-        row = right.select(F.struct(*added).alias("r")).scalar()
-        return left.withColumn("__row", row).select(*left.columns, *[F.col(f"__row.{c}").alias(c) for c in added])
-    right = right.select(*[F.col(c).alias(f"__{c}") for c in by], *added)
-    condition = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    joined = left.join(right, condition, how)
-    return joined.drop(*[f"__{c}" for c in by])
+    if by:
+        return join_on(left, right, by, how)
+    row = right.select(F.struct(*right.columns).alias("r")).scalar()
+    added = [F.col(f"__row.{c}").alias(c) for c in right.columns]
+    return left.withColumn("__row", row).select(*left.columns, *added)
 
 
 def with_total(df: DataFrame, value: str, by: By = (), name: str = "total") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import classify
 from auditframe.functions.fixed_values import COMPLEXITY_BINS
+from auditframe.operators.facts import fact
 from auditframe.operators.grouping import By, join_groups, share, top_k, with_total
 from auditframe.sources.files import without_excluded
 
@@ -48,26 +49,9 @@ def report_languages(files: DataFrame, by: By = REPO) -> DataFrame:
 
 
 def line_metrics(files: DataFrame, by: By = REPO) -> DataFrame:
-    """Line counts per source file, by the rule of its language.
-
-    Python files get all counts; for the others only the lines that count as code are known.
-    """
-    path, text = F.col("path"), F.col("text")
-    language = classify.language(path)
-    python = language == "Python"
-    loc = (
-        F.when(python, classify.physical_lines(text))
-        .when(language.isin("JavaScript", "TypeScript"), classify.code_lines(text))
-        .when(language.isin("Go", "Java"), classify.code_lines(text, "//"))
-    )
-    counted = files.select(
-        *by,
-        "path",
-        language.alias("language"),
-        loc.alias("loc"),
-        F.when(python, classify.comment_lines(text)).alias("comments"),
-        F.when(python, classify.blank_lines(text)).alias("blank"),
-    ).filter(F.col("loc").isNotNull())
+    """Line counts per source file, and whether the file has too few comments."""
+    counted = files.select(*by, "path", fact(files, "lines").alias("n")).filter(F.col("n").isNotNull())
+    counted = counted.select(*by, "path", "n.*")
     sloc = F.col("loc") - F.col("comments") - F.col("blank")
     return counted.withColumn("sloc", sloc).withColumn(
         "under_commented", classify.is_under_commented(F.col("comments"), F.col("sloc"))

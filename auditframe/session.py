@@ -18,6 +18,8 @@ def local_session(cpus: int = 8, name: str = "auditframe", memory: str = "12g")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        # Looking up the caller of every column expression would dominate the building of large plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
