@@ -145,7 +145,7 @@ def html_units(html: Column) -> Column:
 def docstring_units(text: Column) -> Column:
     """Docstrings of a module and of its functions and classes with single-line signatures."""
     quoted = '("""|\'\'\')(.*?)\\1'
-    body = r"(?:\n[0-9]+:[ \t]*)*[rRuU]?" + quoted
+    body = r"(?:\n[0-9]+:[ \t]*(?:#[^\n]*)?)*[rRuU]?" + quoted
     of_definition = rf"(?s)\A{_DEFINITION}[^\n]*:[ \t]*{body}"
     of_module = rf"(?s)\A[0-9]+:(?:[ \t]*(?:#[^\n]*)?\n[0-9]+:)*[ \t]*[rRuU]?{quoted}"
     sections = F.split(_numbered(text), f"(?dm)(?=^{_DEFINITION})")
