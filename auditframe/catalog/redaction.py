@@ -130,6 +130,9 @@ def _register(name: str, rule, steps: list[str], source: str = "documents", keys
     def over_table(b: Bindings):
         return b.table(source).select(*keys.split(", "), rule(F.col(column)).alias("text"))
 
+    if source != "documents":
+        return
+
     @query(f"{name}_planted", sql_chain(f"({PLANTED.replace('{part}', 'part')})", "p_partkey", "text", steps))
     def over_planted(b: Bindings):
         return planted(b).select("p_partkey", rule(F.col("text")).alias("text"))
