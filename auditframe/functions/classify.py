@@ -13,6 +13,7 @@ from auditframe.functions.text import (
     ENDS_WORD,
     STARTS_WORD,
     basename,
+    has_suffix,
     lines,
     strip,
     suffix,
@@ -53,16 +54,21 @@ def is_documentation(path: Column) -> Column:
     by_name = f"^(?:{'|'.join(fixed.DOC_NAMES_AT_ROOT)})[^/]*$"
     by_suffix = rf"^[^/]*\.(?:{'|'.join(fixed.DOC_SUFFIXES_AT_ROOT)})$"
     by_directory = f"(?:^|/)(?:{'|'.join(fixed.DOC_DIRECTORIES)})/[^/]+$"
-    return path.rlike(f"{by_name}|{by_suffix}|{by_directory}") & ~suffix(path).isin(fixed.NOT_DOC_SUFFIXES)
+    return path.rlike(f"{by_name}|{by_suffix}|{by_directory}") & ~has_suffix(path, fixed.NOT_DOC_SUFFIXES)
 
 
 def is_correlated_code(path: Column) -> Column:
-    return suffix(path).isin(fixed.CORRELATED_SUFFIXES)
+    return has_suffix(path, fixed.CORRELATED_SUFFIXES)
+
+
+def glob_pattern(glob: str) -> str:
+    """A glob over path parts as a pattern."""
+    return "[^/]*".join(f"\\Q{piece}\\E" if piece else "" for piece in glob.split("*"))
 
 
 def is_key_file(path: Column) -> Column:
-    """Files whose main committer is reported."""
-    return any_of([glob_matches(path, g) for g in fixed.KEY_FILE_GLOBS])
+    """Files whose main committer is reported; one pattern for all globs."""
+    return path.rlike(f"(?:^|/)(?:{'|'.join(glob_pattern(g) for g in fixed.KEY_FILE_GLOBS)})$")
 
 
 def glob_matches(path: Column, glob: str) -> Column:
@@ -77,8 +83,7 @@ def glob_matches(path: Column, glob: str) -> Column:
         return basename(path).endswith(tail)
     if glob.endswith("*") and "*" not in glob[:-1] and "/" not in glob:
         return basename(path).startswith(glob[:-1])
-    pieces = [f"\\Q{piece}\\E" if piece else "" for piece in glob.split("*")]
-    return path.rlike(f"(?:^|/){'[^/]*'.join(pieces)}$")
+    return path.rlike(f"(?:^|/){glob_pattern(glob)}$")
 
 
 def complexity_rank(complexity: Column) -> Column:

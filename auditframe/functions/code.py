@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import fixed_values as fixed
 from auditframe.functions.classify import any_case, any_of
-from auditframe.functions.text import SPACE, STARTS_WORD, WORD, basename, find_all, is_blank, let, lines, strip, suffix
+from auditframe.functions.text import SPACE, WORD, find_all, is_blank, let, lines, may_hold, strip, suffix
 
 # --- definitions ----------------------------------------------------------------------------------
 
@@ -34,31 +34,13 @@ def symbols_in(path: Column, text: Column) -> Column:
 # Words are cut into overlapping pieces of at most 95 characters, 64 apart: any 32 characters in a row
 # lie within one piece, however long the word.
 PIECE_STEP, KEY_LENGTH = 64, 32
-_PIECE = (
-    rf"(?=({WORD}{{{fixed.FEATURE_KEYWORD_LENGTH},{PIECE_STEP + KEY_LENGTH - 1}}}+)){WORD}{{1,{PIECE_STEP}}}"
-)
 
 
-def word_pieces(text: Column) -> Column:
-    """Distinct pieces of the words of a text, in lower case."""
-    return F.array_distinct(find_all(F.lower(text), _PIECE, 1))
-
-
-def long_word_keys(text: Column) -> Column:
-    """Every run of 32 characters of the words that are longer than that."""
-    words = find_all(F.lower(text), rf"{STARTS_WORD}{WORD}{{{KEY_LENGTH + 1},}}+")
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: substrings(w, KEY_LENGTH, KEY_LENGTH))))
-
-
-def substrings(piece: Column, shortest: int, longest: int) -> Column:
-    """Distinct substrings between two lengths."""
-    starts = F.sequence(F.lit(1), F.length(piece) - (shortest - 1))
-
-    def from_start(start: Column) -> Column:
-        ends = F.least(F.length(piece) - start + 1, F.lit(longest))
-        return F.transform(F.sequence(F.lit(shortest), ends), lambda n: F.substring(piece, start, n))
-
-    return F.array_distinct(F.flatten(F.transform(starts, from_start)))
+def word_pieces(text: Column, shortest: int) -> Column:
+    """Distinct pieces, of at least ``shortest`` characters, of the words of a text, in lower case."""
+    longest = PIECE_STEP + KEY_LENGTH - 1
+    pattern = rf"(?=({WORD}{{{shortest},{longest}}}+)){WORD}{{1,{PIECE_STEP}}}"
+    return F.array_distinct(find_all(F.lower(text), pattern, 1))
 
 
 def security_keywords_in(text: Column) -> Column:
@@ -73,14 +55,22 @@ def security_keywords_in(text: Column) -> Column:
 
 
 def is_scanned_for_secrets(path: Column) -> Column:
-    return any_of([basename(path).endswith(s) for s in fixed.SECRET_SCAN_SUFFIXES])
+    return any_of([path.endswith(s) for s in fixed.SECRET_SCAN_SUFFIXES])
+
+
+# Every match of a secret pattern holds one of these.
+_SECRET_WORDS = {"api_key": ["api"], "password": ["passw", "pwd"], "token": ["token", "auth"], "aws": ["aws"]}
 
 
 def secrets_in(path: Column, text: Column) -> Column:
     """Kinds of secrets in a file with their numbers of matches."""
+
+    def matches(kind: str, pattern: str) -> Column:
+        return F.when(may_hold(text, _SECRET_WORDS[kind]), F.size(find_all(text, any_case(pattern)))).otherwise(0)
+
     kinds = F.array(
         *[
-            F.struct(F.lit(kind).alias("kind"), F.size(find_all(text, any_case(p))).cast("bigint").alias("matches"))
+            F.struct(F.lit(kind).alias("kind"), matches(kind, p).cast("bigint").alias("matches"))
             for kind, p in fixed.SECRET_PATTERNS.items()
         ]
     )

@@ -33,7 +33,10 @@ def _mask_assignment(match: Column, equals_mask: str, colon_mask: str) -> Column
 def mask_secrets(text: Column) -> Column:
     """Assigned keys first, then bare keys of known shapes, then credentials in URLs."""
     text = rewrite_matches(
-        text, fixed.ASSIGNED_KEY, lambda m: _mask_assignment(m, "=[REDACTED]", ': "[REDACTED]"')
+        text,
+        fixed.ASSIGNED_KEY,
+        lambda m: _mask_assignment(m, "=[REDACTED]", ': "[REDACTED]"'),
+        words=("api", "token", "secret"),
     )
     text = replace_matches(text, fixed.SSH_KEY, "[SSH_KEY_REDACTED]", needs=("ssh-",))
     text = F.regexp_replace(text, fixed.STANDALONE_SECRET, "[SECRET_REDACTED]")
@@ -119,7 +122,10 @@ def mask_hosts(text: Column, level: str = "medium", host: str | None = None) ->
     if level == "low":
         return text
     return rewrite_matches(
-        text, fixed.HOST_ASSIGNMENT, lambda m: _mask_assignment(m, '="[HOSTNAME]"', ': "[HOSTNAME]"')
+        text,
+        fixed.HOST_ASSIGNMENT,
+        lambda m: _mask_assignment(m, '="[HOSTNAME]"', ': "[HOSTNAME]"'),
+        words=("hostname", "machine", "computer"),
     )
 
 

@@ -7,7 +7,7 @@ what ``\\b`` means has changed between JDK releases.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,29 +66,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _holds(text: Column, needs: tuple[str, ...]) -> Column:
+# Characters that fold to an ASCII letter without being its other case.
+_FOLDING = "\u017f\u0131\u0130\u212a"
+
+
+def _any(conditions: list[Column]) -> Column:
+    found = F.lit(False)
+    for condition in conditions:
+        found = found | condition
+    return found
+
+
+def may_hold(text: Column, words: Sequence[str]) -> Column:
+    """False only if a text surely holds none of the lower-case words, in any case.
+
+    Byte searches for fixed words cost a fraction of a case-insensitive pattern that finds nothing, so
+    they go first. Texts with characters that fold in unusual ways are left to the pattern.
+    """
+    found = let(F.lower(text), lambda t: _any([t.contains(w) for w in words]))
+    return found | _any([text.contains(c) for c in _FOLDING])
+
+
+def _holds(text: Column, needs: Sequence[str], words: Sequence[str]) -> Column:
     held = F.lit(True)
     for literal in needs:
         held = held & text.contains(literal)
-    return held
-
+    return held & may_hold(text, words) if words else held
 
-def replace_matches(text: Column, pattern: str, template: str, needs: tuple[str, ...] = ()) -> Column:
-    """``regexp_replace``, tried only on texts that hold every literal in ``needs``.
 
-    A plain byte search is far cheaper than a pattern that finds nothing.
-    """
-    return let(text, lambda t: F.when(_holds(t, needs), F.regexp_replace(t, pattern, template)).otherwise(t))
+def replace_matches(text: Column, pattern: str, template: str, needs: Sequence[str] = ()) -> Column:
+    """``regexp_replace``, tried only on texts that hold every literal in ``needs``."""
+    return let(text, lambda t: F.when(_holds(t, needs, ()), F.regexp_replace(t, pattern, template)).otherwise(t))
 
 
 def rewrite_matches(
-    text: Column, pattern: str, replace: Callable[[Column], Column], needs: tuple[str, ...] = ()
+    text: Column,
+    pattern: str,
+    replace: Callable[[Column], Column],
+    needs: Sequence[str] = (),
+    words: Sequence[str] = (),
 ) -> Column:
     """Replace each match of ``pattern`` by an expression of that match.
 
     ``regexp_replace`` knows only fixed templates. Here the text between the matches and the matches
     themselves are taken apart, the matches rewritten and both interleaved again. Rows without a match,
-    nearly all of them as a rule, take the cheap branch. ``needs`` are literals every match holds.
+    nearly all of them as a rule, take the cheap branch. Every match holds all literals in ``needs`` and
+    one of the lower-case ``words``, in any case.
     """
 
     def rewritten(t: Column) -> Column:
@@ -96,7 +119,7 @@ def rewrite_matches(
         tails = F.slice(gaps, F.lit(2), F.size(gaps))
         pieces = F.zip_with(find_all(t, pattern), tails, lambda m, gap: F.concat(replace(m), gap))
         whole = F.concat(F.element_at(gaps, 1), F.array_join(pieces, ""))
-        return F.when(_holds(t, needs) & t.rlike(pattern), whole).otherwise(t)
+        return F.when(_holds(t, needs, words) & t.rlike(pattern), whole).otherwise(t)
 
     return let(text, rewritten)
 
@@ -108,3 +131,8 @@ def basename(path: Column) -> Column:
 def suffix(path: Column) -> Column:
     """Last extension with its dot; empty for dot files and names without one."""
     return F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
+
+
+def has_suffix(path: Column, suffixes: Sequence[str]) -> Column:
+    """Whether the last extension is one of ``suffixes``, from one look at the path."""
+    return path.rlike(rf"[^/](?:{'|'.join(s.replace('.', chr(92) + '.') for s in suffixes)})$")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import fixed_values as fixed
 from auditframe.functions.classify import is_correlated_code
-from auditframe.functions.code import KEY_LENGTH, long_word_keys, substrings, word_pieces
+from auditframe.functions.code import KEY_LENGTH, word_pieces
 from auditframe.functions.documents import api_words, feature_keywords
 from auditframe.functions.fixed_values import FEATURE_KEYWORD_LENGTH
 from auditframe.operators.facts import fact
@@ -54,6 +54,16 @@ def api_related_files(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> D
     return join_on(_api_words(claims, by), symbols.select(*by, "symbol", "path"), [*by, "symbol"])
 
 
+def _substrings(pieces: DataFrame, shortest: int, longest: int, name: str) -> DataFrame:
+    """Each row once per substring of its ``piece``; generated row by row, never as one array."""
+    kept = [c for c in pieces.columns if c != "piece"]
+    starts = F.explode(F.sequence(F.lit(1), F.length("piece") - (shortest - 1))).alias("__start")
+    rest = F.least(F.length("piece") - F.col("__start") + 1, F.lit(longest))
+    lengths = F.explode(F.sequence(F.lit(shortest), rest)).alias("__length")
+    placed = pieces.select("*", starts).select("*", lengths)
+    return placed.select(*kept, F.substring(F.col("piece"), F.col("__start"), F.col("__length")).alias(name))
+
+
 def keyword_files(files: DataFrame, keywords: DataFrame, by: By = REPO) -> DataFrame:
     """For each keyword the first code file that contains it, as a substring, in any case.
 
@@ -68,18 +78,18 @@ def keyword_files(files: DataFrame, keywords: DataFrame, by: By = REPO) -> DataF
     is_short = F.length("keyword") <= KEY_LENGTH
 
     # Words with their first file, then their substrings with theirs.
-    words = code.select(*by, "path", F.explode(word_pieces(F.col("text"))).alias("piece"))
+    words = code.select(*by, "path", F.explode(word_pieces(F.col("text"), FEATURE_KEYWORD_LENGTH)).alias("piece"))
     words = words.groupBy(*by, "piece").agg(F.min("path").alias("path"))
-    parts = substrings(F.col("piece"), FEATURE_KEYWORD_LENGTH, KEY_LENGTH)
-    first = words.select(*by, "path", F.explode(parts).alias("keyword"))
-    short = join_groups(wanted.filter(is_short), first, [*by, "keyword"], how="inner")
+    parts = _substrings(words, FEATURE_KEYWORD_LENGTH, KEY_LENGTH, "keyword")
+    short = join_on(parts, wanted.filter(is_short), [*by, "keyword"])
     short = short.groupBy(*by, "keyword").agg(F.min("path").alias("path"))
 
     # Few words are that long, so this side hardly has rows.
-    anchors = code.select(*by, "path", F.explode(long_word_keys(F.col("text"))).alias("anchor"))
+    long_words = code.select(*by, "path", F.explode(word_pieces(F.col("text"), KEY_LENGTH)).alias("piece"))
+    anchors = _substrings(long_words, KEY_LENGTH, KEY_LENGTH, "anchor").distinct()
     anchored = wanted.filter(~is_short).withColumn("anchor", F.left("keyword", F.lit(KEY_LENGTH)))
-    candidates = join_on(anchored, anchors, [*by, "anchor"]).drop("anchor")
-    verified = join_on(candidates, code.select(*by, "path", "text"), [*by, "path"]).filter(
+    candidates = join_on(anchors, anchored, [*by, "anchor"]).drop("anchor")
+    verified = join_on(code.select(*by, "path", "text"), candidates, [*by, "path"]).filter(
         F.lower("text").contains(F.col("keyword"))
     )
     long = verified.groupBy(*by, "keyword").agg(F.min("path").alias("path"))

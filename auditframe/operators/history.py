@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import classify
 from auditframe.functions import fixed_values as fixed
-from auditframe.functions.text import basename, rewrite_matches, suffix
+from auditframe.functions.text import has_suffix, rewrite_matches
 from auditframe.operators.grouping import By, join_groups, top_k, with_total
 
 REPO = ("repo_id",)
@@ -140,8 +140,8 @@ def abandoned_files(
     if sample_first is not None:
         last = top_k(last, sample_first, [F.asc("path")], by).drop("rank")
     old = last.filter(
-        suffix(F.col("path")).isin(fixed.ABANDONED_SUFFIXES)
-        & (F.unix_micros("ts") < F.unix_micros(moment(as_of)) - older_than * 86_400_000_000)
+        (F.unix_micros("ts") < F.unix_micros(moment(as_of)) - older_than * 86_400_000_000)
+        & has_suffix(F.col("path"), fixed.ABANDONED_SUFFIXES)
     )
     days = old.select(*by, "path", whole_days(moment(as_of), F.col("ts")).alias("days_since_change"))
     return top_k(days, k, [F.desc("days_since_change"), F.asc("path")], by)
@@ -192,10 +192,10 @@ def bus_factor(authors: DataFrame, min_share: float = BUS_FACTOR_SHARE, by: By =
 
 
 def is_history_doc(path: Column) -> Column:
-    parent = F.element_at(F.split(path, "/"), -2)
-    in_docs = F.when(path.contains("/"), parent == fixed.HISTORY_DOC_DIRECTORY).otherwise(F.lit(False))
-    named = classify.any_of([basename(path).startswith(start) for start in fixed.HISTORY_DOC_NAME_STARTS])
-    return suffix(path).isin(fixed.HISTORY_DOC_SUFFIXES) | named | in_docs
+    """Documentation by extension, by the start of its name, or as a direct child of a docs directory."""
+    suffixes = "|".join(s.replace(".", "\\.") for s in fixed.HISTORY_DOC_SUFFIXES)
+    starts = "|".join(fixed.HISTORY_DOC_NAME_STARTS)
+    return path.rlike(f"[^/](?:{suffixes})$|(?:^|/)(?:{starts})[^/]*$|(?:^|/){fixed.HISTORY_DOC_DIRECTORY}/[^/]+$")
 
 
 def doc_updates(commit_files: DataFrame, by: By = REPO) -> DataFrame:
@@ -218,9 +218,7 @@ def outdated_docs(
     """
     readmes = doc_updates(commit_files, by).filter(F.lower("path").contains("readme"))
     newest = readmes.groupBy(*by).agg(F.min("path").alias("path"), F.max("ts").alias("ts"))
-    code = since(commit_files, as_of, months=6).filter(
-        suffix(F.col("path")).isin(fixed.HISTORY_CODE_SUFFIXES)
-    )
+    code = since(commit_files, as_of, months=6).filter(has_suffix(F.col("path"), fixed.HISTORY_CODE_SUFFIXES))
     # Files per commit first: counting distinct hashes needs no second pass over the rows then.
     per_commit = code.groupBy(*by, "hash").agg(F.count("*").alias("files"))
     changes = per_commit.groupBy(*by).agg((F.sum("files") + 2 * F.count("*") - 1).alias("lines"))

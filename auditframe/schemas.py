@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "timestamp": T.TimestampType(),
+}
+
+
 def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Flat schemas; Spark's own parser would need a running session at import."""
+    pairs = (column.split() for column in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 FILES = ddl("repo_id string, path string, text string")

@@ -32,6 +32,19 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table over all cores, for work that costs far more than moving the rows.
+
+    A table kept in fewer files than there are cores may sit in a single row group, which one task would
+    have to read and process alone. Tables of many partitions are left where they are, so that large
+    data is never moved for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditframe.session import pin_utc
+from auditframe.session import pin_utc, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows are long texts: their patterns cost more than moving the rows.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 
 def _repo(key: str) -> str:
     return f"CASE WHEN {key} % 3 = 0 THEN 'src0' ELSE concat('src', CAST({key} % 20 AS STRING)) END"
@@ -280,7 +283,8 @@ class Bindings:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
     def sql(self, query: str) -> DataFrame:
         """Run a query whose ``{name}`` marks are given tables."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions.classify import in_excluded_directory, is_documentation
 from auditframe.functions.fixed_values import SOURCE_SUFFIXES
-from auditframe.functions.text import replace_matches, suffix
+from auditframe.functions.text import has_suffix, replace_matches
 
 
 def read_files(
@@ -43,7 +43,7 @@ def without_excluded(files: DataFrame, caller: str) -> DataFrame:
 
 def source_files(files: DataFrame, caller: str) -> DataFrame:
     """The files one language's analysis looks at."""
-    return without_excluded(files.filter(suffix(F.col("path")).isin(SOURCE_SUFFIXES[caller])), caller)
+    return without_excluded(files.filter(has_suffix(F.col("path"), SOURCE_SUFFIXES[caller])), caller)
 
 
 def documentation_files(files: DataFrame) -> DataFrame:
