@@ -64,10 +64,13 @@ def _sectioned(
     unit_line: Callable[[Column], Column],
     with_numbers: bool,
 ) -> Column:
-    sections = F.split(_numbered(text), f"(?dm)(?=^{heading})")
+    numbered = _numbered(text)
+    sections = F.split(numbered, f"(?dm)(?=^{heading})")
+    # Only the first section can lack a heading.
+    opens_headed = numbered.rlike(f"(?dm)\\A{heading}")
 
     def units(section: Column, section_no: Column) -> Column:
-        headed = section.rlike(f"(?dm)\\A{heading}")
+        headed = (section_no > 0) | opens_headed
         rows = F.filter(lines(section), lambda row: row != "")
         context = F.when(headed, title(_line_text(F.element_at(rows, 1)))).otherwise(GENERAL)
         body = F.when(headed, F.slice(rows, F.lit(2), F.size(rows))).otherwise(rows)

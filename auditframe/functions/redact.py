@@ -40,7 +40,9 @@ def mask_secrets(text: Column) -> Column:
     )
     text = replace_matches(text, fixed.SSH_KEY, "[SSH_KEY_REDACTED]", needs=("ssh-",))
     text = F.regexp_replace(text, fixed.STANDALONE_SECRET, "[SECRET_REDACTED]")
-    text = replace_matches(text, fixed.GITHUB_TOKEN, "[GITHUB_TOKEN_REDACTED]", needs=("gh", "_"))
+    text = replace_matches(
+        text, fixed.GITHUB_TOKEN, "[GITHUB_TOKEN_REDACTED]", needs=("_",), words=("ghp_", "ghs_", "github_pat_")
+    )
     text = replace_matches(text, fixed.AWS_ACCESS_KEY, "[AWS_ACCESS_KEY_REDACTED]", needs=("AKIA",))
     text = replace_matches(text, fixed.AWS_SECRET, "$1=[AWS_SECRET_REDACTED]", needs=("_", "="))
     return rewrite_matches(

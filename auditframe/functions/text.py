@@ -94,9 +94,12 @@ def _holds(text: Column, needs: Sequence[str], words: Sequence[str]) -> Column:
     return held & may_hold(text, words) if words else held
 
 
-def replace_matches(text: Column, pattern: str, template: str, needs: Sequence[str] = ()) -> Column:
-    """``regexp_replace``, tried only on texts that hold every literal in ``needs``."""
-    return let(text, lambda t: F.when(_holds(t, needs, ()), F.regexp_replace(t, pattern, template)).otherwise(t))
+def replace_matches(
+    text: Column, pattern: str, template: str, needs: Sequence[str] = (), words: Sequence[str] = ()
+) -> Column:
+    """``regexp_replace``, tried only on texts that can match: they hold every literal in ``needs`` and
+    one of the lower-case ``words``, in any case."""
+    return let(text, lambda t: F.when(_holds(t, needs, words), F.regexp_replace(t, pattern, template)).otherwise(t))
 
 
 def rewrite_matches(

@@ -148,6 +148,4 @@ def correlate(claims: DataFrame, files: DataFrame, texts: DataFrame | None = Non
 
 def unrelated_claims(claims: DataFrame, related: DataFrame, by: By = REPO) -> DataFrame:
     """Claims without any related code."""
-    keys = related.select(*[F.col(c).alias(f"__{c}") for c in (*by, *CLAIM)])
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, *CLAIM)]
-    return claims.join(keys, same, "left_anti")
+    return join_on(claims, related.select(*by, *CLAIM), [*by, *CLAIM], how="left_anti")

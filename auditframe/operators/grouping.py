@@ -28,10 +28,12 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: By = (), rank: str
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: By, how: str = "inner") -> DataFrame:
-    """Equi-join on columns both sides have. Keys compare NULL-safe, so rows without a repository stay."""
-    renamed = right.withColumnsRenamed({c: f"__{c}" for c in keys})
-    condition = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
-    return left.join(renamed, condition, how).drop(*[f"__{c}" for c in keys])
+    """Equi-join on columns both sides have; keys are never NULL (see ``schemas``).
+
+    Plain equality lets a side that was grouped by the same keys keep its partitioning, where a
+    NULL-safe comparison would shuffle it once more.
+    """
+    return left.join(right, list(keys), how)
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: By, how: str = "left") -> DataFrame:

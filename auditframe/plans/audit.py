@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from auditframe.operators import correlate, discovery, findings, history, metric
 from auditframe.operators.facts import file_facts
 from auditframe.operators.grouping import By
 from auditframe.plans import report, scoring
+from auditframe.schemas import named
 from auditframe.session import pin_utc, stage
 from auditframe.sources.files import documentation_files
 from auditframe.sources.reports import test_summary
@@ -41,6 +42,8 @@ def audit(tables: AuditTables, as_of: str, level: str | None = "medium", by: By
     are written too, since verdicts, statistics and advice all need them.
     """
     pin_utc(tables.files.sparkSession)
+    given = {f.name: getattr(tables, f.name) for f in fields(tables)}
+    tables = AuditTables(**{name: df if df is None else named(df) for name, df in given.items()})
     facts = stage(file_facts(tables.files), "file-facts")
     names = tables.files.drop("text")
 

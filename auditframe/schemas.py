@@ -1,7 +1,13 @@
-"""Schemas of the audit tables. ``repo_id`` groups repositories and may be left out of any of them."""
+"""Schemas of the audit tables.
+
+``repo_id`` groups repositories. It may be left out of all tables, but where it is, it is never NULL: the
+empty text stands for an unnamed repository, and ``named`` puts it there.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -48,3 +54,10 @@ ISSUES = ddl(
 )
 RECOMMENDATIONS = ddl("repo_id string, category string, priority string, recommendation string, action string")
 INSIGHTS = ddl("repo_id string, type string, category string, message string")
+
+
+def named(df: DataFrame) -> DataFrame:
+    """Rows without a repository, put into the unnamed one."""
+    if "repo_id" not in df.columns:
+        return df
+    return df.withColumn("repo_id", F.coalesce("repo_id", F.lit("")))

@@ -45,15 +45,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
+    """The shared folder named by the cluster; a temporary one only on a local master without any."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="auditframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="auditframe-")
+    return _LOCAL_FOLDERS[application]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ def read_files(
     text = replace_matches(F.col("value"), "\r\n?", "\n", needs=("\r",))
     files = reader.load(root).select(below.alias("path"), text.alias("text"))
     if not repositories:
-        return files.select(F.lit(None).cast("string").alias("repo_id"), "path", "text")
+        return files.select(F.lit("").alias("repo_id"), "path", "text")
     return files.select(
         F.substring_index("path", "/", 1).alias("repo_id"),
         F.regexp_replace("path", "^[^/]*/", "").alias("path"),
