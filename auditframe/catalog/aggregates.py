@@ -440,12 +440,16 @@ def verification_recommendations(b: Bindings):
 TEST_TOTALS = """
     SELECT repo_id, CAST(sum(total) AS BIGINT) AS total_tests, CAST(sum(passed) AS BIGINT) AS passed,
            CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(skipped) AS BIGINT) AS skipped,
-           round(coalesce(sum(passed) / CAST(nullif(sum(total), 0) AS DOUBLE), 0) * 100, 6) AS success_rate,
+           coalesce(sum(passed) / CAST(nullif(sum(total), 0) AS DOUBLE), 0) * 100 AS success_rate,
            string_agg(DISTINCT language || '_' || framework, ',' ORDER BY language || '_' || framework) AS frameworks_used
     FROM stdout_counts GROUP BY repo_id"""
 
 
-@query("a17_test_totals", TEST_TOTALS, ("stdout_counts",))
+@query(
+    "a17_test_totals",
+    f"SELECT * REPLACE (round(success_rate, 6) AS success_rate) FROM ({TEST_TOTALS})",
+    ("stdout_counts",),
+)
 def test_totals(b: Bindings):
     totals = findings.test_totals(test_summary(b.test_runs))
     return totals.withColumns(

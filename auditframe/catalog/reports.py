@@ -16,7 +16,6 @@ from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, query, round
 from auditframe.functions.fixed_values import COMPLEXITY_BINS, INSIGHTS, ISSUE_ADVICE, REPORT_ADVICE
 from auditframe.operators import discovery, findings, history, metrics
 from auditframe.operators.findings import union_all
-from auditframe.operators.grouping import join_groups
 from auditframe.plans import report, scoring
 from auditframe.session import stage
 from auditframe.sources.bindings import Bindings
@@ -45,24 +44,12 @@ _HISTORY_VIEWS = ("commits", "commit_files", "tags")
 
 
 def history_row(b: Bindings):
-    def counted(df, name):
-        return df.groupBy("repo_id").agg(F.count("*").alias(name))
-
-    rows = history.repository_info(b.commits)
-    for part in (
-        history.commit_category_counts(history.recent_commits(b.commits, AS_OF_COMMITS)),
-        history.bus_factor(history.contributors(b.commits, AS_OF_COMMITS)),
-        counted(history.outdated_docs(b.commit_files, AS_OF_FILES), "outdated_docs"),
-        counted(history.recent_features(b.commits, AS_OF_COMMITS), "recent_features"),
-        counted(history.high_churn_files(b.commit_files, AS_OF_FILES, more_than=2), "high_churn_files"),
-        history.version_stats(b.tags),
-    ):
-        rows = join_groups(rows, part, ("repo_id",))
-    counts = ["outdated_docs", "recent_features", "high_churn_files"]
-    rows = rows.fillna(0, counts).fillna(False, ["has_versions", "follows_semver"])
+    rows = history.history_summary(
+        b.commits, b.commit_files, b.tags, AS_OF_COMMITS, files_as_of=AS_OF_FILES, churn_above=2
+    )
     return rows.select(
         "repo_id", "repo_age_days", "total_commits", "features", "fixes", "tests", "breaking_changes", "bus_factor",
-        *counts, "has_versions", "follows_semver",
+        "outdated_docs", "recent_features", "high_churn_files", "has_versions", "follows_semver",
     )
 
 

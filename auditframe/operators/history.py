@@ -208,24 +208,39 @@ def latest_doc_updates(commit_files: DataFrame, k: int = 10, by: By = REPO) -> D
     return top_k(doc_updates(commit_files, by), k, [F.desc("ts"), F.asc("path")], by)
 
 
-def outdated_docs(
-    commit_files: DataFrame, as_of: str, older_than: int = 30, min_lines: int = 10, by: By = REPO
-) -> DataFrame:
-    """The README, where it is old although code kept changing; at most one row per repository.
+def doc_overview(commit_files: DataFrame, by: By = REPO) -> DataFrame:
+    """Number of documentation files, and the README with its newest commit, NULL without one."""
+    is_readme = F.lower("path").contains("readme")
+    return doc_updates(commit_files, by).groupBy(*by).agg(
+        F.count("*").alias("documentation_files"),
+        F.min(F.when(is_readme, F.col("path"))).alias("path"),
+        F.max(F.when(is_readme, F.col("ts"))).alias("ts"),
+    )
+
 
-    Change is measured as the length of the name-only log of six months of code commits: two lines per
-    commit and one per file, less the last line feed.
+def code_change_lines(commit_files: DataFrame, as_of: str, by: By = REPO) -> DataFrame:
+    """Length of the name-only log of six months of code commits.
+
+    Two lines per commit and one per file, less the last line feed. Files are counted per commit first,
+    so that counting commits needs no distinct.
     """
-    readmes = doc_updates(commit_files, by).filter(F.lower("path").contains("readme"))
-    newest = readmes.groupBy(*by).agg(F.min("path").alias("path"), F.max("ts").alias("ts"))
     code = since(commit_files, as_of, months=6).filter(has_suffix(F.col("path"), fixed.HISTORY_CODE_SUFFIXES))
-    # Files per commit first: counting distinct hashes needs no second pass over the rows then.
     per_commit = code.groupBy(*by, "hash").agg(F.count("*").alias("files"))
-    changes = per_commit.groupBy(*by).agg((F.sum("files") + 2 * F.count("*") - 1).alias("lines"))
-    judged = join_groups(newest, changes, by)
-    days = whole_days(moment(as_of), F.col("ts"))
-    return judged.filter((F.col("lines") > min_lines) & (days > older_than)).select(
-        *by, "path", days.alias("days_since_update")
+    return per_commit.groupBy(*by).agg((F.sum("files") + 2 * F.count("*") - 1).alias("lines"))
+
+
+def _is_outdated(as_of: str, older_than: int = 30, min_lines: int = 10) -> Column:
+    return (F.col("lines") > min_lines) & (whole_days(moment(as_of), F.col("ts")) > older_than)
+
+
+def outdated_docs(
+    commit_files: DataFrame, as_of: str, older_than: int = 30, min_lines: int = 10, by: By = REPO
+) -> DataFrame:
+    """The README, where it is old although code kept changing; at most one row per repository."""
+    docs = doc_overview(commit_files, by).filter(F.col("ts").isNotNull())
+    judged = join_groups(docs, code_change_lines(commit_files, as_of, by), by)
+    return judged.filter(_is_outdated(as_of, older_than, min_lines)).select(
+        *by, "path", whole_days(moment(as_of), F.col("ts")).alias("days_since_update")
     )
 
 
@@ -277,22 +292,58 @@ def version_stats(tags: DataFrame, min_share: float = 0.8, by: By = REPO) -> Dat
 # --- summary --------------------------------------------------------------------------------------
 
 
+def commit_overview(commits: DataFrame, as_of: str, by: By = REPO) -> DataFrame:
+    """Age, totals, categories of the last year and recent features, from one pass over the commits."""
+    start = moment(as_of) - F.make_interval(days=F.lit(365))
+    year = moment(as_of) - F.make_interval(years=F.lit(1))
+    merged = F.col("is_merge") if "is_merge" in commits.columns else F.lit(False)
+    recent = (F.col("ts") >= start) & ~merged
+    flags = classify.commit_categories(F.col("subject"))
+    feature = classify.is_feature_commit(F.col("subject")) & (F.col("ts") >= year)
+    first, last = F.min("ts"), F.max("ts")
+    return commits.groupBy(*by).agg(
+        F.coalesce(whole_days(last, first), F.lit(0)).alias("repo_age_days"),
+        iso(first).alias("first_commit_date"),
+        iso(last).alias("last_commit_date"),
+        F.count("*").alias("total_commits"),
+        *[F.count_if(flag & recent).alias(name) for name, flag in flags.items()],
+        F.least(F.count_if(feature), F.lit(20)).alias("recent_features"),
+    )
+
+
+def churn_overview(
+    commit_files: DataFrame, as_of: str, more_than: int = 5, k: int = 10, by: By = REPO
+) -> DataFrame:
+    """Numbers of high-churn files, as many as are listed, and of stable files."""
+    churning = F.col("changes") > more_than
+    return file_churn(commit_files, as_of, by).groupBy(*by).agg(
+        F.least(F.count_if(churning), F.lit(k)).alias("high_churn_files"), F.count_if(~churning).alias("stable_files")
+    )
+
+
 def history_summary(
-    commits: DataFrame, commit_files: DataFrame, tags: DataFrame, as_of: str, by: By = REPO
+    commits: DataFrame,
+    commit_files: DataFrame,
+    tags: DataFrame,
+    as_of: str,
+    by: By = REPO,
+    files_as_of: str | None = None,
+    churn_above: int = 5,
 ) -> DataFrame:
-    """One row per repository with every number the history rules ask for."""
-    summary = repository_info(commits, by)
-    parts = [
-        commit_category_counts(recent_commits(commits, as_of), by),
+    """One row per repository with every number the history rules ask for.
+
+    ``files_as_of`` is the "now" of the touched files where it differs from that of the commits.
+    """
+    now = files_as_of or as_of
+    docs = join_groups(doc_overview(commit_files, by), code_change_lines(commit_files, now, by), by)
+    outdated = F.when(_is_outdated(now), F.lit(1)).otherwise(0).cast("bigint").alias("outdated_docs")
+    summary = commit_overview(commits, as_of, by)
+    for part in (
         bus_factor(contributors(commits, as_of, by), by=by),
-        high_churn_files(commit_files, as_of, by=by).groupBy(*by).agg(F.count("*").alias("high_churn_files")),
-        stable_files(commit_files, as_of, by=by).groupBy(*by).agg(F.count("*").alias("stable_files")),
-        outdated_docs(commit_files, as_of, by=by).groupBy(*by).agg(F.count("*").alias("outdated_docs")),
-        doc_updates(commit_files, by).groupBy(*by).agg(F.count("*").alias("documentation_files")),
-        recent_features(commits, as_of, by=by).groupBy(*by).agg(F.count("*").alias("recent_features")),
+        churn_overview(commit_files, now, churn_above, by=by),
+        docs.select(*by, "documentation_files", outdated),
         version_stats(tags, by=by),
-    ]
-    for part in parts:
+    ):
         summary = join_groups(summary, part, by)
     counts = [c for c, t in summary.dtypes if t == "bigint"]
     return summary.fillna(0, counts).fillna(False, ["has_versions", "follows_semver"])
