@@ -84,16 +84,19 @@ def keyword_files(files: DataFrame, keywords: DataFrame, by: By = REPO) -> DataF
     short = join_on(parts, wanted.filter(is_short), [*by, "keyword"])
     short = short.groupBy(*by, "keyword").agg(F.min("path").alias("path"))
 
-    # Few words are that long, so this side hardly has rows.
+    # Hardly any keyword is that long. Asking first costs a look at the keywords and mostly spares a
+    # second pass over all texts.
+    anchored = wanted.filter(~is_short)
+    if anchored.isEmpty():
+        return short
+    anchored = anchored.withColumn("anchor", F.left("keyword", F.lit(KEY_LENGTH)))
     long_words = code.select(*by, "path", F.explode(word_pieces(F.col("text"), KEY_LENGTH)).alias("piece"))
     anchors = _substrings(long_words, KEY_LENGTH, KEY_LENGTH, "anchor").distinct()
-    anchored = wanted.filter(~is_short).withColumn("anchor", F.left("keyword", F.lit(KEY_LENGTH)))
     candidates = join_on(anchors, anchored, [*by, "anchor"]).drop("anchor")
     verified = join_on(code.select(*by, "path", "text"), candidates, [*by, "path"]).filter(
         F.lower("text").contains(F.col("keyword"))
     )
-    long = verified.groupBy(*by, "keyword").agg(F.min("path").alias("path"))
-    return short.unionByName(long)
+    return short.unionByName(verified.groupBy(*by, "keyword").agg(F.min("path").alias("path")))
 
 
 def feature_related(claims: DataFrame, files: DataFrame, by: By = REPO) -> DataFrame:

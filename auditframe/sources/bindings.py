@@ -276,15 +276,18 @@ VIEWS |= {
 
 
 class Bindings:
-    """Lazily built frames over one folder of given tables."""
+    """Lazily built frames over one folder of given tables, each looked up once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = pin_utc(spark)
         self.folder = folder
+        self._frames: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df) if name in TEXT_TABLES else df
+        if name not in self._frames:
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._frames[name] = spread(df) if name in TEXT_TABLES else df
+        return self._frames[name]
 
     def sql(self, query: str) -> DataFrame:
         """Run a query whose ``{name}`` marks are given tables."""
@@ -292,7 +295,9 @@ class Bindings:
         return self.spark.sql(query, **used)
 
     def view(self, name: str) -> DataFrame:
-        return self.sql(VIEWS[name])
+        if name not in self._frames:
+            self._frames[name] = self.sql(VIEWS[name])
+        return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
