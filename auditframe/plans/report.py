@@ -17,7 +17,24 @@ SUMMARY, DISTRIBUTION, FILES, TESTS, HISTORY, INSIGHTS, ISSUES, RECOMMENDATIONS
 
 
 def number(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    """A non-negative number with one or two digits; ties of its exact binary value go to the even digit.
+
+    ``format_string`` rounds the shortest decimal text of the value, and ties upwards. Here the fraction
+    is taken as whole units of 2**-56 and what is left of them, so that the comparison is exact.
+    """
+    scale, unit = 10**digits, 2**56
+    value = value.cast("double")
+    whole = F.floor(value)
+    units = (value - whole) * float(unit)
+    counted = F.floor(units)
+    scaled = counted * scale
+    last = F.shiftright(scaled, 56)
+    below_tie = F.lit(unit // 2) - scaled.bitwiseAND(F.lit(unit - 1))
+    left = (units - counted) * scale
+    up = (left > below_tie) | ((left == below_tie) & (last % 2 == 1))
+    rounded = whole * scale + last + up.cast("bigint")
+    digits_text = F.lpad((rounded % scale).cast("string"), digits, "0")
+    return F.concat(F.floor(rounded / scale).cast("string"), F.lit("."), digits_text)
 
 
 def _text(value: Column) -> Column:

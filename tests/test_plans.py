@@ -113,6 +113,14 @@ def test_insights_and_verification_issues(spark):
 # --- reports --------------------------------------------------------------------------------------
 
 
+def test_numbers_round_like_their_binary_value(spark):
+    values = [0.0, 92.125, 92.375, 2.675, 1.005, 0.125, 0.005, 99.995, 99.999, 0.1, 1e6 + 0.345, 12.5, 0.05, 0.25, 7.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (1, 2):
+        got = [r["t"] for r in df.select(report.number(F.col("v"), digits).alias("t")).collect()]
+        assert got == [f"{v:.{digits}f}" for v in values]
+
+
 def test_console_and_markdown(spark, issue_input, tmp_path):
     functions, found = issue_input
     rows = scoring.scored(summary(spark, total_tests=20, passed=18, failed=2, success_rate=90.0, total_files=5))
