@@ -126,7 +126,7 @@ def train(
     if n < 2 or not cut:
         return net()
     rows, sizes, goal = np.array([c[0] for c in cut]), np.array([c[1] for c in cut]), np.array([c[2] for c in cut])
-    weight = len(goal) / (n * np.bincount(goal, minlength=n))
+    weight = len(goal) / (n * np.maximum(1, np.bincount(goal, minlength=n)))
     first = {name: np.zeros_like(x) for name, x in w.items()}
     second = {name: np.zeros_like(x) for name, x in w.items()}
     for step in range(1, steps + 1):

@@ -23,8 +23,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
 
     First every length gives its share of the documents, rounded down, so that the take resembles the source.
     Then, longest first, documents are added while more than ``window`` words are missing. The rest is a bounded
-    knapsack over the documents not yet taken, solved exactly by dynamic programming over all sums up to what is
-    missing: of each length, powers of two of the documents left (at most those that fit) are single items.
+    knapsack over the documents not yet taken, solved exactly by dynamic programming over all sums up to twice what
+    is missing: of each length, powers of two of the documents left (at most those that fit) are single items. The
+    nearest sum is taken, of two equally near ones the smaller.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
@@ -39,25 +40,27 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
         more = min(int(counts[i] - take[i]), max(0, (missing - window) // int(lengths[i])))
         take[i] += more
         missing -= more * int(lengths[i])
-    goal = min(missing, window + int(lengths.max()))
+    # Sums a little beyond what is missing may come nearer to it than any below.
+    goal, top = missing, 2 * missing
     # first[s]: the item by which sum s was first reached, -1 if it was not; items are (length index, how many).
-    first = np.full(goal + 1, -1, np.int32)
-    reached = np.zeros(goal + 1, bool)
+    first = np.full(top + 1, -1, np.int32)
+    reached = np.zeros(top + 1, bool)
     reached[0] = True
     items: list[tuple[int, int]] = []
     for i in order:
-        length, left, k = int(lengths[i]), min(int(counts[i] - take[i]), goal // int(lengths[i])), 1
+        length, left, k = int(lengths[i]), min(int(counts[i] - take[i]), top // int(lengths[i])), 1
         while left > 0 and not reached[goal]:
             n = min(k, left)
             left, k, step = left - n, 2 * k, n * length
-            if step <= goal:
-                new = np.zeros(goal + 1, bool)
+            if step <= top:
+                new = np.zeros(top + 1, bool)
                 new[step:] = reached[:-step]
                 new &= ~reached
                 first[new] = len(items)
                 reached |= new
                 items.append((i, n))
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - goal))])
     while at:
         i, n = items[first[at]]
         take[i] += n

@@ -25,16 +25,16 @@ MIX = 0xBF58476D1CE4E5B9
 def rolling(codes: np.ndarray, k: int) -> np.ndarray:
     """The polynomial hash of every k-gram, 32 well-mixed bits each, by joining stretches of doubling length."""
     # grams[i] covers `done` code points from i; the binary digits of k tell which stretches make up k.
-    power, part, width = np.uint64(BASE), codes.astype(np.uint64) + np.uint64(1), 1
+    power, part, width = BASE, codes.astype(np.uint64) + np.uint64(1), 1
     whole, done = None, 0
     while width <= k:
         if k & width:
             n = len(codes) - done - width + 1
-            whole = part[:n].copy() if whole is None else whole[:n] * power + part[done : done + n]
+            whole = part[:n].copy() if whole is None else whole[:n] * np.uint64(power) + part[done : done + n]
             done += width
         if 2 * width <= k:
-            part = part[:-width] * power + part[width:]
-            power = power * power
+            part = part[:-width] * np.uint64(power) + part[width:]
+            power = power * power % 2**64
         width *= 2
     mixed = whole ^ (whole >> np.uint64(32))
     return (mixed * np.uint64(MIX)) >> np.uint64(32)
