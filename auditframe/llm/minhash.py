@@ -24,7 +24,7 @@ AGREEING = 70
 #: Shingles hashed at once, which bounds a task's memory for very long texts.
 CHUNK = 1024
 #: Rounds in which one member of each bucket is compared with the others, before the rest is paired.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -158,6 +158,47 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: i
     return both.filter(100 * F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
+def tokens(members: DataFrame) -> DataFrame:
+    """(id, component, shingles) to one row per shingle: id, component, n, shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, component, raw in zip(*(batch.column(i) for i in range(3)), strict=True):
+                found = np.frombuffer(raw.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), x), pa.int64()) for x in (node.as_py(), component.as_py(), len(found))] + [pa.array(found)],
+                    ["id", "component", "n", "shingle"],
+                )
+
+    return members.select("id", "component", "shingles").mapInArrow(run, "id long, component long, n long, shingle long")
+
+
+def alike_beyond_components(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (x, y) of different components among which is every pair of sets that are similar enough.
+
+    All shingles have one order: first those found in one component only, then the rarer before the more frequent.
+    Two sets of that similarity share one of their first n - ceil(similarity * n) + 1 shingles. Only these are
+    joined, and of them only those found in several components. Members of a family that are less alike than
+    asked differ in shingles of their own, which come first, so such families make few pairs.
+    """
+    each = stage(tokens(members.join(sets, "id")), "tokens")
+    across = each.groupBy("shingle").agg(F.count("*").alias("frequency"), (F.min("component") != F.max("component")).alias("across"))
+    met = each.join(across.filter("across"), "shingle").groupBy("id", "component", "n").agg(
+        F.sort_array(F.collect_list(F.struct("frequency", "shingle"))).alias("met")
+    )
+    # Of the first shingles those come before `met` that are found in one component only.
+    first = F.expr(f"n - (n * {similarity} + 99) div 100 + 1 - (n - size(met))").cast("int")
+    heads = met.filter(first > 0).select("id", "component", "n", F.posexplode(F.slice("met", F.lit(1), first)), F.size("met").alias("open"))
+    place = F.col("n") - F.col("open") + F.col("pos")
+    heads = stage(heads.select("id", "component", "n", place.alias("place"), "col.shingle"), "heads")
+    one = heads.toDF("x", "of_x", "n_x", "place_x", "shingle")
+    other = heads.toDF("y", "of_y", "n_y", "place_y", "shingle")
+    # From the first shingle that two sets share on, no more can be shared than either has left.
+    most = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    enough = (100 + similarity) * most >= similarity * (F.col("n_x") + F.col("n_y"))
+    return one.join(other, "shingle").filter((F.col("of_x") < F.col("of_y")) & enough)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of every node on an edge (a, b): the smallest node it is connected with.
 
@@ -197,8 +238,8 @@ def near_duplicates(
     1. Documents of equal sets form one class, of which the smallest id goes on.
     2. In every bucket of at least two, one member is compared with the others; confirmed links make components.
        Repeated with other members, this joins most of what belongs together at a cost in line with the buckets.
-    3. Members of a bucket that are in different components still are compared, each with each of the other
-       component. Nothing is capped.
+    3. Among the members of buckets that still hold several components, pairs of different components are found
+       by their rarest shingles, which no pair that is similar enough escapes. Nothing is capped.
 
     Letters A-Z count as a-z; words are divided by ASCII white space. A text with fewer words than a shingle has
     one shingle, its whole sequence; without words or text it has none, is linked with nothing and kept. Rows of
@@ -231,11 +272,8 @@ def near_duplicates(
             found = current.join(open_.select("key", "first.centre", "first.of"), "key").filter("component <> of")
             ends = "id", "centre"
         else:
-            left = current.join(open_.select("key"), "key")
-            one = left.select("key", F.col("id").alias("x"), F.col("component").alias("of_x"))
-            other = left.select("key", F.col("id").alias("y"), F.col("component").alias("of_y"))
-            found = one.join(other, "key").filter("of_x < of_y")
-            ends = "x", "y"
+            left = current.join(open_.select("key"), "key").select("id", "component").distinct()
+            found, ends = alike_beyond_components(left, sets, similarity), ("x", "y")
         pairs = found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
         for earlier in tried:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
