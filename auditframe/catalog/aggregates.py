@@ -187,7 +187,7 @@ _FEATURES = f"""
     ("commits",),
 )
 def features_per_month(b: Bindings):
-    return history.features_per_month(b.commits, AS_OF_COMMITS)
+    return history.features_per_month(b.commits, AS_OF_COMMITS, newest=50)
 
 
 _YEAR = f"ts >= TIMESTAMP '{AS_OF_FILES}' - INTERVAL 1 YEAR"

@@ -34,8 +34,8 @@ _HISTORY = f"""
                FROM (SELECT repo_id, author, count(*) AS n, sum(count(*)) OVER (PARTITION BY repo_id) AS total
                      FROM commits GROUP BY repo_id, author) GROUP BY repo_id) b ON b.repo_id = i.repo_id
     LEFT JOIN (SELECT repo_id, count(*) AS n FROM ({OUTDATED}) GROUP BY repo_id) o ON o.repo_id = i.repo_id
-    LEFT JOIN (SELECT repo_id, least(count(*), 20) AS n FROM ({FEATURE_COMMITS}) GROUP BY repo_id) f ON f.repo_id = i.repo_id
-    LEFT JOIN (SELECT repo_id, least(count(*), 10) AS n
+    LEFT JOIN (SELECT repo_id, count(*) AS n FROM ({FEATURE_COMMITS}) GROUP BY repo_id) f ON f.repo_id = i.repo_id
+    LEFT JOIN (SELECT repo_id, count(*) AS n
                FROM (SELECT repo_id, path FROM commit_files
                      WHERE ts >= TIMESTAMP '{AS_OF_FILES}' - INTERVAL 6 MONTH GROUP BY repo_id, path HAVING count(*) > 2)
                GROUP BY repo_id) h ON h.repo_id = i.repo_id
@@ -72,7 +72,7 @@ _SUMMARY = f"""
     SELECT r.repo_id, coalesce(x.total_files, 0) AS total_files, coalesce(x.total_complexity, 0) AS total_complexity,
            coalesce(x.average_complexity, 0) AS average_complexity,
            coalesce(x.high_complexity_functions, 0) AS high_complexity_functions,
-           coalesce(t.total_tests, 0) AS total_tests, coalesce(t.failed, 0) AS failed,
+           coalesce(t.total_tests, 0) AS total_tests, coalesce(t.passed, 0) AS passed, coalesce(t.failed, 0) AS failed,
            coalesce(t.success_rate, 0) AS success_rate, coalesce(s.n, 0) AS security_issues, coalesce(y.n, 0) AS type_errors,
            coalesce(w.frameworks, 0) AS frameworks, coalesce(ci.has_ci, false) AS has_ci,
            coalesce(h.repo_age_days, 365) AS repo_age_days, coalesce(h.bus_factor, 3) AS bus_factor,
@@ -315,7 +315,7 @@ def results_by_framework(b: Bindings):
 
 
 def git_block(b: Bindings):
-    rows = history.history_summary(b.commits, b.commit_files, b.tags, AS_OF_COMMITS)
+    rows = history.history_summary(b.commits, b.commit_files, b.tags, AS_OF_COMMITS, files_as_of=AS_OF_FILES, churn_above=2)
     return report.git_report(rows, history.top_contributors(b.commits, AS_OF_COMMITS), scoring.insights(rows))
 
 
@@ -328,14 +328,9 @@ def git_block(b: Bindings):
           FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, author) AS r
                 FROM (SELECT repo_id, author, count(*) AS n FROM commits GROUP BY ALL)) WHERE r <= 5 GROUP BY repo_id) t
       ON t.repo_id = i.repo_id
-    JOIN (SELECT c.repo_id, 1 + CAST(fixes > features * 2 AS INT) + CAST(breaking_changes > 5 AS INT)
-                            + CAST(bus_factor < 3 AS INT) AS insights
-          FROM ({CATEGORY_COUNTS}) c
-          JOIN (SELECT repo_id, count_if(n > 0.1 * total) AS bus_factor
-                FROM (SELECT repo_id, author, count(*) AS n, sum(count(*)) OVER (PARTITION BY repo_id) AS total
-                      FROM commits GROUP BY repo_id, author) GROUP BY repo_id) b ON b.repo_id = c.repo_id) n
-      ON n.repo_id = i.repo_id""",
-    ("commits",),
+    JOIN (SELECT repo_id, {' + '.join(f'CAST({rule} AS INT)' for rule, _, _ in _INSIGHT_RULES)} AS insights
+          FROM ({_HISTORY})) n ON n.repo_id = i.repo_id""",
+    _HISTORY_VIEWS,
 )
 def git_report(b: Bindings):
     pair = F.transform("contributor_summary.top_contributors", lambda c: F.concat(c["author"], F.lit("="), c["commits"].cast("string")))
@@ -423,6 +418,7 @@ _BIN_LINES = " UNION ALL ".join(
     UNION ALL SELECT repo_id, 10, 'Total lines', '0' FROM ({_SUMMARY})
     UNION ALL SELECT repo_id, 20, 'Average complexity', printf('%.2f', average_complexity) FROM ({_SUMMARY})
     UNION ALL SELECT repo_id, 30, 'Total tests', CAST(total_tests AS VARCHAR) FROM ({_SUMMARY}) WHERE total_tests > 0
+    UNION ALL SELECT repo_id, 40, 'Passed', CAST(passed AS VARCHAR) FROM ({_SUMMARY}) WHERE total_tests > 0
     UNION ALL SELECT repo_id, 50, 'Failed', CAST(failed AS VARCHAR) FROM ({_SUMMARY}) WHERE total_tests > 0
     UNION ALL SELECT repo_id, 60, 'Success rate', concat(printf('%.1f', success_rate), '%') FROM ({_SUMMARY}) WHERE total_tests > 0
     UNION ALL SELECT repo_id, 70, 'No tests found', '' FROM ({_SUMMARY}) WHERE total_tests = 0
@@ -432,9 +428,6 @@ _BIN_LINES = " UNION ALL ".join(
     _VIEWS,
 )
 def console_summary(b: Bindings):
-    lines = report.console_summary(
-        scoring.scored(summary_row(b)), metrics.complexity_distribution(b.function_metrics)
-    )
-    return lines.filter(F.col("metric") != "Passed")
+    return report.console_summary(scoring.scored(summary_row(b)), metrics.complexity_distribution(b.function_metrics))
 
 

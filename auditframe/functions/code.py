@@ -87,10 +87,19 @@ _QUOTE = r"^\s*[rRuU]?[\"']"
 
 def _positional_arguments(signature: Column) -> Column:
     """Plain parameters of a signature: none after a star, none before a slash."""
-    flat = signature
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"[\[({][^\[\](){}]*[\])}]", "")
-    flat = F.regexp_replace(flat, r"[\"'][^\"']*[\"']", "")
+    unquoted = F.regexp_replace(signature, r"[\"'][^\"']*[\"']", "")
+    # Runs of text between brackets, each bracket on its own; what lies within any is left out, however deep.
+    parts = F.regexp_extract_all(unquoted, F.lit(r"[\[({\])}]|[^\[({\])}]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, part: Column) -> Column:
+        opens, closes = part.isin("[", "(", "{"), part.isin("]", ")", "}")
+        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        outside = ~opens & ~closes & (state["depth"] == 0)
+        kept = F.when(outside, F.concat(state["kept"], F.array(part))).otherwise(state["kept"])
+        return F.struct(F.greatest(depth, F.lit(0)).alias("depth"), kept.alias("kept"))
+
+    flat = F.array_join(F.aggregate(parts, start, step)["kept"], "")
     names = F.filter(F.transform(F.split(flat, ","), strip), lambda a: a != "")
     starred = F.array_position(F.transform(names, lambda a: a.startswith("*")), True)
     plain = F.when(starred > 0, F.slice(names, F.lit(1), (starred - 1).cast("int"))).otherwise(names)

@@ -54,49 +54,48 @@ def api_related_files(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> D
     return join_on(_api_words(claims, by), symbols.select(*by, "symbol", "path"), [*by, "symbol"])
 
 
-def _substrings(pieces: DataFrame, shortest: int, longest: int, name: str) -> DataFrame:
-    """Each row once per substring of its ``piece``; generated row by row, never as one array."""
+#: Characters that a keyword and a place in a word are joined on: the longer key where the keyword has it.
+SHORT_KEY, LONG_KEY = FEATURE_KEYWORD_LENGTH, 2 * FEATURE_KEYWORD_LENGTH
+
+
+def _places(pieces: DataFrame, length: int) -> DataFrame:
+    """Each piece once per place that ``length`` characters follow: these as ``key``, more of them as ``ahead``.
+
+    A row holds a bounded stretch of its piece, so the rows are linear in the text however long a piece is.
+    """
     kept = [c for c in pieces.columns if c != "piece"]
-    starts = F.explode(F.sequence(F.lit(1), F.length("piece") - (shortest - 1))).alias("__start")
-    rest = F.least(F.length("piece") - F.col("__start") + 1, F.lit(longest))
-    lengths = F.explode(F.sequence(F.lit(shortest), rest)).alias("__length")
-    placed = pieces.select("*", starts).select("*", lengths)
-    return placed.select(*kept, F.substring(F.col("piece"), F.col("__start"), F.col("__length")).alias(name))
+    starts = F.explode(F.sequence(F.lit(1), F.length("piece") - (length - 1))).alias("__start")
+    placed = pieces.filter(F.length("piece") >= length).select("*", starts)
+    key = F.substring(F.col("piece"), F.col("__start"), F.lit(length)).alias("key")
+    return placed.select(*kept, key, F.substring(F.col("piece"), F.col("__start"), F.lit(KEY_LENGTH)).alias("ahead"))
 
 
 def keyword_files(files: DataFrame, keywords: DataFrame, by: By = REPO) -> DataFrame:
     """For each keyword the first code file that contains it, as a substring, in any case.
 
     A keyword consists of word characters, so it lies within one word of the text. The distinct words of
-    a repository, far fewer than its text, give out their substrings, and an equi-join finds the
-    keywords among them: no comparison of every keyword with every file. Where the keywords are few,
-    adaptive execution broadcasts them and the substrings never leave their task. Keywords longer than
-    32 characters join on their first 32 and are then looked for in the files that hold those.
+    a repository, far fewer than its text, give a row per place; an equi-join on the first characters finds
+    the keywords that may begin there, and the characters ahead decide. Short and longer keywords join on
+    keys of their own, as many words share four characters but few share eight. Keywords longer than 32
+    characters are decided in the files that hold their first 32.
     """
     code = files.filter(is_correlated_code(F.col("path")))
-    wanted = keywords.select(*by, "keyword").distinct()
-    is_short = F.length("keyword") <= KEY_LENGTH
-
-    # Words with their first file, then their substrings with theirs.
+    wanted = keywords.select(*by, "keyword").distinct().withColumn("head", F.left("keyword", F.lit(KEY_LENGTH)))
+    is_long = F.length("keyword") >= LONG_KEY
     words = code.select(*by, "path", F.explode(word_pieces(F.col("text"), FEATURE_KEYWORD_LENGTH)).alias("piece"))
-    words = words.groupBy(*by, "piece").agg(F.min("path").alias("path"))
-    parts = _substrings(words, FEATURE_KEYWORD_LENGTH, KEY_LENGTH, "keyword")
-    short = join_on(parts, wanted.filter(is_short), [*by, "keyword"])
-    short = short.groupBy(*by, "keyword").agg(F.min("path").alias("path"))
-
-    # Hardly any keyword is that long. Asking first costs a look at the keywords and mostly spares a
-    # second pass over all texts.
-    anchored = wanted.filter(~is_short)
-    if anchored.isEmpty():
-        return short
-    anchored = anchored.withColumn("anchor", F.left("keyword", F.lit(KEY_LENGTH)))
-    long_words = code.select(*by, "path", F.explode(word_pieces(F.col("text"), KEY_LENGTH)).alias("piece"))
-    anchors = _substrings(long_words, KEY_LENGTH, KEY_LENGTH, "anchor").distinct()
-    candidates = join_on(anchors, anchored, [*by, "anchor"]).drop("anchor")
-    verified = join_on(code.select(*by, "path", "text"), candidates, [*by, "path"]).filter(
-        F.lower("text").contains(F.col("keyword"))
-    )
-    return short.unionByName(verified.groupBy(*by, "keyword").agg(F.min("path").alias("path")))
+    # The first file alone decides short keywords; one that exceeds the stretch ahead may need another file.
+    firsts = words.groupBy(*by, "piece").agg(F.min("path").alias("path"))
+    decided = F.length("keyword") <= KEY_LENGTH
+    found = None
+    for length, chosen in ((SHORT_KEY, ~is_long), (LONG_KEY, is_long & decided)):
+        sought = wanted.filter(chosen).withColumn("key", F.left("keyword", F.lit(length)))
+        hits = join_on(_places(firsts, length), sought, [*by, "key"]).filter(F.col("ahead").startswith(F.col("keyword")))
+        found = hits.select(*by, "keyword", "path") if found is None else found.unionByName(hits.select(*by, "keyword", "path"))
+    anchored = wanted.filter(~decided).withColumn("key", F.left("keyword", F.lit(LONG_KEY)))
+    candidates = join_on(_places(words, LONG_KEY), anchored, [*by, "key"]).filter(F.col("ahead") == F.col("head"))
+    verified = join_on(code.select(*by, "path", "text"), candidates.select(*by, "path", "keyword").distinct(), [*by, "path"])
+    verified = verified.filter(F.lower("text").contains(F.col("keyword"))).select(*by, "keyword", "path")
+    return found.unionByName(verified).groupBy(*by, "keyword").agg(F.min("path").alias("path"))
 
 
 def feature_related(claims: DataFrame, files: DataFrame, by: By = REPO) -> DataFrame:

@@ -254,13 +254,15 @@ def feature_commits(commits: DataFrame, as_of: str, k: int = 50, by: By = REPO)
 
 
 def recent_features(commits: DataFrame, as_of: str, k: int = 20, by: By = REPO) -> DataFrame:
-    """The newest of the newest fifty: a shorter cut of the same order."""
-    return feature_commits(commits, as_of, min(k, 50), by)
+    """The k newest feature commits."""
+    return feature_commits(commits, as_of, k, by)
 
 
-def features_per_month(commits: DataFrame, as_of: str, by: By = REPO) -> DataFrame:
-    newest = feature_commits(commits, as_of, by=by)
-    return newest.groupBy(*by, F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("features"))
+def features_per_month(commits: DataFrame, as_of: str, newest: int | None = None, by: By = REPO) -> DataFrame:
+    """Feature commits of the last year by month; of the ``newest`` ones only, if a number is given."""
+    features = since(commits, as_of, years=1).filter(classify.is_feature_commit(F.col("subject")))
+    features = features if newest is None else feature_commits(commits, as_of, newest, by)
+    return features.groupBy(*by, F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("features"))
 
 
 def version_key(tag: Column) -> Column:
@@ -307,17 +309,17 @@ def commit_overview(commits: DataFrame, as_of: str, by: By = REPO) -> DataFrame:
         iso(last).alias("last_commit_date"),
         F.count("*").alias("total_commits"),
         *[F.count_if(flag & recent).alias(name) for name, flag in flags.items()],
-        F.least(F.count_if(feature), F.lit(20)).alias("recent_features"),
+        F.count_if(feature).alias("recent_features"),
     )
 
 
 def churn_overview(
-    commit_files: DataFrame, as_of: str, more_than: int = 5, k: int = 10, by: By = REPO
+    commit_files: DataFrame, as_of: str, more_than: int = 5, by: By = REPO
 ) -> DataFrame:
-    """Numbers of high-churn files, as many as are listed, and of stable files."""
+    """Numbers of high-churn files and of stable files."""
     churning = F.col("changes") > more_than
     return file_churn(commit_files, as_of, by).groupBy(*by).agg(
-        F.least(F.count_if(churning), F.lit(k)).alias("high_churn_files"), F.count_if(~churning).alias("stable_files")
+        F.count_if(churning).alias("high_churn_files"), F.count_if(~churning).alias("stable_files")
     )
 
 

@@ -34,12 +34,14 @@ class AuditTables:
     tool_findings: DataFrame | None = None
 
 
-def audit(tables: AuditTables, as_of: str, level: str | None = "medium", by: By = REPO) -> dict[str, DataFrame]:
-    """All result tables, lazily, with texts redacted at ``level`` (``None`` leaves them as they are).
+def audit(
+    tables: AuditTables, as_of: str, level: str | None = "medium", by: By = REPO, files_as_of: str | None = None
+) -> dict[str, DataFrame]:
+    """All result tables, with texts redacted at ``level`` (``None`` leaves them as they are).
 
     The texts are read twice: once for all facts of a file, which are written to the checkpoint folder
     as everything else derives from them, and once for the words that features are looked up by. Claims
-    are written too, since verdicts, statistics and advice all need them.
+    are written too, since verdicts, statistics and advice all need them. ``files_as_of`` is the "now" of the touched files where it differs.
     """
     pin_utc(tables.files.sparkSession)
     given = {f.name: getattr(tables, f.name) for f in fields(tables)}
@@ -70,7 +72,7 @@ def audit(tables: AuditTables, as_of: str, level: str | None = "medium", by: By
     distribution = metrics.complexity_distribution(tables.function_metrics, by)
     top_files = metrics.top_complex_files(file_metrics, by=by)
     runs = test_summary(tables.test_runs)
-    git = history.history_summary(tables.commits, tables.commit_files, tables.tags, as_of, by)
+    git = history.history_summary(tables.commits, tables.commit_files, tables.tags, as_of, by, files_as_of)
     languages = metrics.report_languages(names, by)
 
     repositories = names.select(*by).distinct() if by else complexity
@@ -82,7 +84,7 @@ def audit(tables: AuditTables, as_of: str, level: str | None = "medium", by: By
             scoring.under_commented(lines, by),
             scoring.findings_summary(all_findings, by),
             findings.test_totals(runs, by).drop("frameworks_used"),
-            discovery.detected_frameworks(names.withColumn("text", F.lit("")), by)
+            discovery.detected_frameworks(tables.files, by)
             .groupBy(*by)
             .agg(F.count("*").alias("frameworks")),
             discovery.has_ci(names, by),

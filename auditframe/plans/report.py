@@ -61,12 +61,14 @@ def test_results_by_framework(runs: DataFrame, by: By = REPO) -> DataFrame:
     )
 
 
-def git_report(history: DataFrame, contributors: DataFrame, insights: DataFrame, by: By = REPO) -> DataFrame:
-    """History block of a report: counts, the five first contributors and insights."""
-    top = bounded_list(contributors, ["author", "commits"], 5, "top_contributors", by)
+def git_report(
+    history: DataFrame, contributors: DataFrame, insights: DataFrame, by: By = REPO, listed_contributors: int = 5
+) -> DataFrame:
+    """History block of a report: counts, the first contributors (a top list of the given length) and all insights."""
+    top = bounded_list(contributors, ["author", "commits"], listed_contributors, "top_contributors", by)
     # At most six rules can hold, so this list is bounded by itself.
     listed = F.array_sort(F.collect_list(F.struct("ord", "category", "message")))
-    told = insights.groupBy(*by).agg(F.slice(listed, 1, 5).alias("insights"))
+    told = insights.groupBy(*by).agg(listed.alias("insights"))
     rows = join_groups(join_groups(history, top, by), told, by)
     blocks = {
         "repository_info": ["repo_age_days", "first_commit_date", "last_commit_date", "total_commits"],
@@ -81,14 +83,14 @@ def git_report(history: DataFrame, contributors: DataFrame, insights: DataFrame,
 
 
 def complexity_report(
-    summary: DataFrame, distribution: DataFrame, top_files: DataFrame, by: By = REPO
+    summary: DataFrame, distribution: DataFrame, top_files: DataFrame, by: By = REPO, listed_files: int = 10
 ) -> DataFrame:
-    """Complexity block of a report: metrics, all six bins, the ten most complex files."""
+    """Complexity block of a report: metrics, all six bins, the most complex files (a top list of the given length)."""
     # Six rows per group at most.
     bins = distribution.groupBy(*by).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("bin", "functions")))).alias("complexity_distribution")
     )
-    files = bounded_list(top_files, ["path", "total_complexity", "loc", "functions"], 10, "top_complex_files", by)
+    files = bounded_list(top_files, ["path", "total_complexity", "loc", "functions"], listed_files, "top_complex_files", by)
     metrics = F.struct(
         F.col("total_files").alias("files_analyzed"),
         F.col("total_loc").alias("total_lines"),

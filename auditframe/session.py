@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Session setting: into how many partitions text tables are dealt on reading. Unset, as on a cluster, they stay as
+#: they lie; test tables of a single row group would otherwise keep one core busy.
+SPREAD = "spark.auditframe.spread"
+
+
 def local_session(cpus: int = 8, name: str = "auditframe", memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
     spark = (
@@ -18,6 +23,7 @@ def local_session(cpus: int = 8, name: str = "auditframe", memory: str = "12g")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        .config(SPREAD, str(cpus))
         # Looking up the caller of every column expression would dominate the building of large plans.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -33,16 +39,9 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small table over all cores, for work that costs far more than moving the rows.
-
-    A table kept in fewer files than there are cores may sit in a single row group, which one task would
-    have to read and process alone. Tables of many partitions are left where they are, so that large
-    data is never moved for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
+    """The rows dealt out anew where the session's setting asks for it, whatever the table's size."""
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}

@@ -282,3 +282,13 @@ def test_checks_per_language(spark):
     df = spark.createDataFrame([("r", "c", "t2", "a"), ("r", "c", "t1", "a"), ("r", "c", "t1", "b")], "repo_id string, language string, tool string, path string")
     row = findings.checks_per_language(df).first()
     assert (row["tools_used"], row["files_analyzed"], row["checks"]) == (["t1", "t2"], 2, 3)
+
+
+def test_recent_features_and_months_are_whole(spark):
+    rows = [("r", f"h{i:03d}", "u", f"feat: number {i}", f"2024-01-{1 + i % 28:02d} 00:00:00") for i in range(200)]
+    commits = spark.createDataFrame(rows, "repo_id string, hash string, author string, subject string, ts string")
+    commits = commits.withColumn("ts", F.to_timestamp("ts"))
+    assert history.recent_features(commits, "2024-01-31", 100).count() == 100
+    assert [r["features"] for r in history.features_per_month(commits, "2024-01-31").collect()] == [200]
+    assert [r["features"] for r in history.features_per_month(commits, "2024-01-31", newest=50).collect()] == [50]
+    assert history.commit_overview(commits, "2024-01-31").first()["recent_features"] == 200

@@ -179,3 +179,16 @@ def test_symbols(files):
     df = files({"a.py": "def f (x):\nclass C:\nclass D(E):\ndef f():", "b.ts": "function g(){}\nclass H {", "c.go": "func x()"})
     found = {(r["path"], r["symbol"]) for r in correlate.symbols(df).collect()}
     assert found == {("a.py", "f"), ("a.py", "C"), ("a.py", "D"), ("b.ts", "g"), ("b.ts", "H")}
+
+
+def test_positional_arguments_at_any_depth(spark):
+    from auditframe.functions.code import _positional_arguments
+
+    cases = {
+        "a, b=((((((1, 2), 3), 4), 5), 6), 7), c={'x': [1, (2, [3, {4: 5}])]}, d=','": 4,
+        "a, b: dict[str, tuple[int, list[int]]] = {}": 2,
+        "": 0,
+        "a, /, b, *, c": 1,
+    }
+    for signature, expected in cases.items():
+        assert one(spark, _positional_arguments(F.col("t")), t=signature) == expected, signature
