@@ -91,6 +91,11 @@ def hash_block(digits: Column, count: int) -> Column:
     return F.floor(F.conv(F.substring(digits, 1, 8), 16, 10).cast("long") * count / F.lit(2**32)).cast("int")
 
 
+def early(digits: Column, share: Column) -> Column:
+    """Whether a row is within the first ``share`` of the seeded order: about that part of any table."""
+    return hash_block(digits, 2**31 - 1) <= share * (2**31 - 1)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import named, seeded, unwrapped, wrapped
+from auditframe.llm.common import early, named, seeded, unwrapped, wrapped
 
 UNKNOWN = "und"
 #: State units per direction, bytes per segment, segments read at once.
@@ -178,17 +178,21 @@ def gradients(net: Network, rows: np.ndarray, sizes: np.ndarray, goal: np.ndarra
 
 
 def sample(labelled: DataFrame, text_column: str, lang_column: str, order: str, docs: int = DOCS) -> tuple[list[str], list[str]]:
-    """Excerpts of at most ``docs`` documents per language, the first ones in a seeded order, and their languages.
+    """Excerpts of at most ``docs`` documents per language, early ones in a seeded order, and their languages.
 
     The sample is bounded as only the weights are learnt from it; predictions read whole texts.
     """
-    rows = labelled.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.col(order).alias("order"))
-    first = Window.partitionBy("lang").orderBy("order", "text")
-    chosen = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= docs)
     n = F.length("text")
     starts = [F.greatest(F.lit(1), F.floor((n - EXCERPT) * i / max(1, EXCERPTS - 1)).cast("int") + 1) for i in range(EXCERPTS)]
     cuts = F.array_distinct(F.array(*[F.substring(F.col("text"), s, F.lit(EXCERPT)) for s in starts]))
-    found = chosen.select("lang", "nth", cuts.alias("cuts")).collect()
+    rows = labelled.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.col(order).alias("order"))
+    # A few times as many rows as are wanted pass by their place in the order, whatever the table's size; these
+    # are ranked. Only excerpts are moved.
+    share = (4 * docs / F.count("*")).alias("share")
+    passed = rows.join(rows.groupBy("lang").agg(share), "lang").filter(early(F.col("order"), F.col("share")))
+    first = Window.partitionBy("lang").orderBy("order", "cuts")
+    numbered = passed.select("lang", "order", cuts.alias("cuts")).withColumn("nth", F.row_number().over(first))
+    found = numbered.filter(F.col("nth") <= docs).select("lang", "nth", "cuts").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["nth"]))
     pairs = [(cut, r["lang"]) for r in found for cut in r["cuts"] if cut]
     return [p[0] for p in pairs], [p[1] for p in pairs]

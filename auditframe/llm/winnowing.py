@@ -98,23 +98,20 @@ def fingerprints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # One row at a time: only what leaves the task is kept for the whole batch.
+            made: dict[str, list] = {f.name: [] for f in schema.fields if f not in carried}
+            for row in zip(*(batch.column(t) for t in texts), strict=True):
+                found = {t: winnow(x.as_py() or "", k, window) for t, x in zip(texts, row, strict=True)}
+                for t, (hashes, positions) in found.items():
+                    made[f"fingerprint_{t}"].append(digest(hashes, positions))
+                    if spans:
+                        made[f"hashes_{t}"].append(hashes.astype(np.int64))
+                        made[f"positions_{t}"].append(positions)
+                for a, b in pairs:
+                    made[f"likeness_{a}_{b}"].append(likeness(found[a][0], found[b][0]))
+            kinds = {"fingerprint": pa.string(), "likeness": pa.float64(), "hashes": pa.list_(pa.int64()), "positions": pa.list_(pa.int64())}
             columns = {f.name: batch.column(f.name) for f in carried}
-            found = {t: [] for t in texts}
-            last: dict[str, tuple] = {}
-            for t in texts:
-                for x in batch.column(t):
-                    text = x.as_py() or ""
-                    # A row's text is often the text of the row before under another name: made once.
-                    if text not in last:
-                        last[text] = winnow(text, k, window)
-                    found[t].append(last[text])
-            for t in texts:
-                columns[f"fingerprint_{t}"] = pa.array([digest(*x) for x in found[t]], pa.string())
-                if spans:
-                    columns[f"hashes_{t}"] = pa.array([x[0].astype(np.int64) for x in found[t]], pa.list_(pa.int64()))
-                    columns[f"positions_{t}"] = pa.array([x[1] for x in found[t]], pa.list_(pa.int64()))
-            for a, b in pairs:
-                columns[f"likeness_{a}_{b}"] = pa.array([likeness(x[0], y[0]) for x, y in zip(found[a], found[b], strict=True)], pa.float64())
+            columns |= {name: pa.array(values, kinds[name.split("_")[0]]) for name, values in made.items()}
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], [f.name for f in schema.fields])
 
     return df.select(*[named(c) for c in dict.fromkeys([*[f.name for f in carried], *texts])]).mapInArrow(run, schema)
