@@ -187,9 +187,13 @@ def sample(labelled: DataFrame, text_column: str, lang_column: str, order: str,
     cuts = F.array_distinct(F.array(*[F.substring(F.col("text"), s, F.lit(EXCERPT)) for s in starts]))
     rows = labelled.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.col(order).alias("order"))
     # A few times as many rows as are wanted pass by their place in the order, whatever the table's size; these
-    # are ranked. Only excerpts are moved.
-    share = (4 * docs / F.count("*")).alias("share")
-    passed = rows.join(rows.groupBy("lang").agg(share), "lang").filter(early(F.col("order"), F.col("share")))
+    # are ranked. The driver learns one count per language, of which the network has one output each; no text is
+    # shuffled, and of texts only the excerpts of rows that pass.
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
+        return [], []
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 4.0 * docs / r["count"])])
+    passed = rows.filter(early(F.col("order"), shares[F.col("lang")]))
     first = Window.partitionBy("lang").orderBy("order", "cuts")
     numbered = passed.select("lang", "order", cuts.alias("cuts")).withColumn("nth", F.row_number().over(first))
     found = numbered.filter(F.col("nth") <= docs).select("lang", "nth", "cuts").collect()
