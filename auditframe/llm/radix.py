@@ -25,8 +25,9 @@ def groups_of_equals(
     part. Most documents leave after the first split; the table of the others is written between two splits and
     shrinks, while the stretch of bytes looked at grows, so there are few splits even for very long texts.
 
-    Groups are counted with partial sums before the shuffle, and rows learn their group by a join of which Spark
-    splits hot keys: a group with a third of all rows is neither collected nor sorted in one task.
+    Groups are counted with partial sums before the shuffle. Those of several members are written, so that rows
+    learn their group by a join of two scans: Spark broadcasts groups only if they are few, and else splits hot
+    keys. A group with a third of all rows is neither collected nor sorted in one task.
 
     Of equal texts the row with the largest id stays, a null id being the smallest; of several rows with that id
     one stays. Null texts count as empty. An empty table gives an empty table. Input columns named like the
@@ -44,8 +45,9 @@ def groups_of_equals(
         members = [F.count("*").alias("members"), F.lit(None).cast("struct<id:bigint,back:bigint>").alias("best")]
         if done:
             members[1] = F.max(F.struct("id", (-F.col("number")).alias("back"))).alias("best")
-        groups = keyed.groupBy("group", "piece").agg(*members).withColumn("next", F.monotonically_increasing_id())
-        joined = keyed.join(groups, ["group", "piece"])
+        groups = keyed.groupBy("group", "piece").agg(*members).filter("members > 1")
+        groups = stage(groups.withColumn("next", F.monotonically_increasing_id()), f"radix-groups-{start}")
+        joined = keyed.join(groups, ["group", "piece"], "left").withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
         # Rows get their numbers when the first split is written, so only single members can leave before.
         over = F.length("piece") < width if done else F.lit(False)
         settled = (F.col("members") == 1) | over
