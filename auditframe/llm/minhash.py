@@ -203,8 +203,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of every node on an edge (a, b): the smallest node it is connected with.
 
     Alternating large-star and small-star: every node ties its larger neighbours, then itself and its smaller
-    ones, to the smallest node it knows of, until nothing changes. Minima are found with partial aggregates and
-    handed out by joins, so a node of any degree is no hot task; each round is written, which cuts its lineage.
+    ones, to the smallest node it knows of, until nothing changes. Minima are found with partial aggregates,
+    written, and handed out by joins of two scans, whose hot keys Spark splits, so a node of any degree is no hot
+    task; each round is written, which cuts its lineage.
     """
     current = stage(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct(), name)
     before = None
@@ -215,10 +216,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = mark
         # Large-star: m is the least of u and its neighbours; each neighbour above u is tied to m.
         around = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stage(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
         large = around.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
         # Small-star: of a node's smaller neighbours the least takes the node and the others.
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        large = stage(large, f"{name}-large")
+        low = stage(large.groupBy("v").agg(F.min("u").alias("m")), f"{name}-low")
         small = large.join(low, "v").select(F.explode(F.array(F.struct("m", F.col("u").alias("w")), F.struct("m", F.col("v").alias("w")))).alias("e"))
         current = stage(small.select(F.col("e.m").alias("u"), F.col("e.w").alias("v")).filter("u < v").distinct(), name)
     roots = current.select(F.col("u").alias("id")).distinct().withColumn("component", F.col("id"))
@@ -250,11 +252,16 @@ def near_duplicates(
     seen = stage(features(rows, words), "features")
     linkable = seen.filter("n > 0 and id is not null")
     same = ["set_hi", "set_lo", "n"]
-    classes = linkable.groupBy(*same).agg(F.min("id").alias("rep"))
-    members = linkable.join(classes, same)
-    reps = members.filter("id = rep").dropDuplicates(["id", *same]).select("id", "n", "signature", "band_keys")
+    # What rows are joined with is written before: Spark splits the hot keys of a join of two scans, but not of one
+    # whose other side an aggregate has just made by the same key.
+    classes = linkable.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("members"))
+    classes = stage(classes.filter("members > 1").drop("members"), "classes")
+    slim = linkable.select("id", *same).join(classes, same, "left")
+    members = stage(slim.select("id", "set_hi", "set_lo", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    chosen = linkable.join(members.filter("id = rep").select("id", *same), ["id", *same], "left_semi")
+    reps = chosen.dropDuplicates(["id", *same]).select("id", "n", "signature", "band_keys")
     entries = stage(reps.select(F.explode("band_keys").alias("key"), "id"), "entries")
-    full = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    full = stage(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "full")
     shared = stage(entries.join(full, "key"), "buckets")
     active = shared.select("id").distinct()
     nodes = stage(reps.join(active, "id", "left_semi").select("id", "n", "signature"), "nodes")
@@ -268,8 +275,9 @@ def near_duplicates(
         first = F.min(F.struct(order.alias("order"), F.col("id").alias("centre"), F.col("component").alias("of")))
         spread = F.min("component") != F.max("component")
         open_ = current.groupBy("key").agg(first.alias("first"), spread.alias("open")).filter("open")
+        open_ = stage(open_.select("key", "first.centre", "first.of"), f"open-{round_}")
         if round_ < STAR_ROUNDS:
-            found = current.join(open_.select("key", "first.centre", "first.of"), "key").filter("component <> of")
+            found = current.join(open_, "key").filter("component <> of")
             ends = "id", "centre"
         else:
             left = current.join(open_.select("key"), "key").select("id", "component").distinct()
