@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditframe.llm import attribution, chat, language, minhash, mixing, packing, radix, sharding, sql, weak_labels, winnowing
 from auditframe.llm.common import WORD, documents, shipped
+from auditframe.session import stage
 
 FOLDS = 5
 
@@ -37,7 +38,8 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    sized = documents(spark, folder).select("doc_id", "source", size.alias("words"))
+    # Words are counted once; the mix reads sizes several times.
+    sized = stage(documents(spark, folder).select("doc_id", "source", size.alias("words")), "sizes")
     mixed = mixing.mix(sized, F.col("words"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return mixed.select("doc_id", "size", "source_size", "target", taken, "source", "copies")
