@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,7 +62,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[application]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Where the tables lie that ``stage`` has written, by their frames.
+_STAGED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and read it back.
 
     For results that several others consume: the lineage ends here, a lost executor costs no
@@ -69,5 +75,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _STAGED[table] = path
+    return table
+
+
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete staged tables, or one ``column=value`` part of them, that nothing will read any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{_STAGED[table]}/{part}".rstrip("/"))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
