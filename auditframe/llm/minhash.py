@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditframe.llm.common import named
-from auditframe.session import stage
+from auditframe.session import discard, stage
 
 #: Minima per document, in bands of ROWS; a pair of similarity 0.8 shares no band once in 20 million times.
 BANDS, ROWS = 32, 4
@@ -173,9 +173,11 @@ def tokens(members: DataFrame) -> DataFrame:
     return members.select("id", "component", "shingles").mapInArrow(run, "id long, component long, n long, shingle long")
 
 
-def alike_beyond_components(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def alike_beyond_components(members: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (x, y) of different components among which is every pair of sets that are similar enough.
 
+    Also the staged table that they are made from, to be discarded after them.
+
     All shingles have one order: first those found in one component only, then the rarer before the more frequent.
     Two sets of that similarity share one of their first n - ceil(similarity * n) + 1 shingles. Only these are
     joined, and of them only those found in several components. Members of a family that are less alike than
@@ -191,12 +193,13 @@ def alike_beyond_components(members: DataFrame, sets: DataFrame, similarity: int
     heads = met.filter(first > 0).select("id", "component", "n", F.posexplode(F.slice("met", F.lit(1), first)), F.size("met").alias("open"))
     place = F.col("n") - F.col("open") + F.col("pos")
     heads = stage(heads.select("id", "component", "n", place.alias("place"), "col.shingle"), "heads")
+    discard(each)
     one = heads.toDF("x", "of_x", "n_x", "place_x", "shingle")
     other = heads.toDF("y", "of_y", "n_y", "place_y", "shingle")
     # From the first shingle that two sets share on, no more can be shared than either has left.
     most = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     enough = (100 + similarity) * most >= similarity * (F.col("n_x") + F.col("n_y"))
-    return one.join(other, "shingle").filter((F.col("of_x") < F.col("of_y")) & enough)
+    return one.join(other, "shingle").filter((F.col("of_x") < F.col("of_y")) & enough), heads
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -222,7 +225,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = stage(large, f"{name}-large")
         low = stage(large.groupBy("v").agg(F.min("u").alias("m")), f"{name}-low")
         small = large.join(low, "v").select(F.explode(F.array(F.struct("m", F.col("u").alias("w")), F.struct("m", F.col("v").alias("w")))).alias("e"))
-        current = stage(small.select(F.col("e.m").alias("u"), F.col("e.w").alias("v")).filter("u < v").distinct(), name)
+        tied = stage(small.select(F.col("e.m").alias("u"), F.col("e.w").alias("v")).filter("u < v").distinct(), name)
+        discard(current, least, large, low)
+        current = tied
     roots = current.select(F.col("u").alias("id")).distinct().withColumn("component", F.col("id"))
     return current.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(roots)
 
@@ -263,10 +268,14 @@ def near_duplicates(
     entries = stage(reps.select(F.explode("band_keys").alias("key"), "id"), "entries")
     full = stage(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "full")
     shared = stage(entries.join(full, "key"), "buckets")
+    discard(entries, full)
     active = shared.select("id").distinct()
     nodes = stage(reps.join(active, "id", "left_semi").select("id", "n", "signature"), "nodes")
     sets = stage(full_sets(rows.join(active, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
-    tried, labels = [], None
+    others = seen.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    others = stage(others, "unlinked")
+    discard(seen, classes)
+    tried, labels, spent = [], None, [shared, nodes, sets]
     for round_ in range(STAR_ROUNDS + 1):
         current = shared.withColumn("component", F.col("id"))
         if labels is not None:
@@ -281,25 +290,29 @@ def near_duplicates(
             ends = "id", "centre"
         else:
             left = current.join(open_.select("key"), "key").select("id", "component").distinct()
-            found, ends = alike_beyond_components(left, sets, similarity), ("x", "y")
+            (found, heads), ends = alike_beyond_components(left, sets, similarity), ("x", "y")
+            spent.append(heads)
         pairs = found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
         for earlier in tried:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = stage(pairs, f"pairs-{round_}")
+        spent += [open_, pairs]
         if pairs.isEmpty():
             # Other members may still lead to pairs, unless these were all pairs that are left.
             continue
         tried.append(pairs)
         known = stage(confirmed(pairs, nodes, sets, similarity), f"links-{round_}")
+        spent.append(known)
         if not known.isEmpty():
+            links = known
             if labels is not None:
-                known = known.unionByName(labels.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
-            labels = components(known, f"components-{round_}")
+                links = known.unionByName(labels.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
+            labels = components(links, f"components-{round_}")
+    discard(*spent)
     if labels is None:
-        labels = reps.select("id", F.col("id").alias("component")).limit(0)
+        labels = members.select("id", F.col("id").alias("component")).limit(0)
     result = members.select("id", "n", "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     linked = result.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    others = seen.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     every = linked.unionByName(others)
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return every.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.llm.common import named, unwrapped, wrapped
-from auditframe.session import stage
+from auditframe.session import discard, stage
 
 #: Bytes of the first split; each further one looks at GROWTH times as many of the bytes that follow.
 FIRST, GROWTH = 32, 8
@@ -22,8 +22,8 @@ def groups_of_equals(
 
     Documents are split by their first bytes, each group by the bytes that follow, and so on, until a group has
     one member or its texts have ended. Members of a group that ended agree in every byte, so no digest takes
-    part. Most documents leave after the first split; the table of the others is written between two splits and
-    shrinks, while the stretch of bytes looked at grows, so there are few splits even for very long texts.
+    part. Documents leave as their groups settle; the table of the others is written between two splits, the one
+    before it deleted, and shrinks, while the stretch of bytes looked at grows, so there are few splits even for very long texts.
 
     Groups are counted with partial sums before the shuffle. Those of several members are written, so that rows
     learn their group by a join of two scans: Spark broadcasts groups only if they are few, and else splits hot
@@ -38,7 +38,7 @@ def groups_of_equals(
     rows = wrapped(docs.select(*[named(c) for c in dict.fromkeys([*held, id_column])]))
     text = F.coalesce(F.col("row").getField(text_column).cast("string"), F.lit("")).cast("binary")
     active = rows.select("row", F.col("row").getField(id_column).cast("long").alias("id"), F.lit(0).cast("long").alias("group"))
-    start, width, done = 0, first, []
+    start, width, done, last = 0, first, [], None
     while True:
         piece = F.substring(text, start + 1, width)
         keyed = active.withColumn("piece", piece)
@@ -60,8 +60,13 @@ def groups_of_equals(
                 (F.col("number") if done else F.monotonically_increasing_id()).alias("number"),
                 F.col("best.id").alias("best_id"), (-F.col("best.back")).alias("best_number"),
             ),
-            f"radix-{start}",
+            f"radix-{start}", ["settled"],
         )
+        # The rows that went on to this split now lie in its table.
+        discard(groups)
+        if last is not None:
+            discard(last, part="settled=false")
+        last = table
         done.append(table.filter("settled"))
         start, width = start + width, width * growth
         active = table.filter("not settled").select("row", "id", "number", "group")
