@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditframe.functions import fixed_values as fixed
-from auditframe.functions.text import ANY_CASE, SPACE, find_all, first_match, is_blank, lines, strip
+from auditframe.functions.text import ANY_CASE, SPACE, find_all, first_match, is_blank, let, lines, strip
 from auditframe.operators.grouping import By, forward_fill
 
 # --- commit logs ----------------------------------------------------------------------------------
@@ -111,13 +111,17 @@ def complexity_lines(logs: DataFrame, column: str = "stdout") -> DataFrame:
 def assertion_failures(stdout: Column, before: int = 2, after: int = 2) -> Column:
     """Failed assertions with the lines around them, as an array of structs in line order."""
 
-    def around(line: Column, i: Column) -> Column:
-        start = F.greatest(i - before, F.lit(0))
-        context = F.slice(lines(stdout), start + 1, i + after + 1 - start)
-        hit = line.contains("VERIFICATION FAILED") | line.contains("assertion")
-        return F.when(hit, F.struct((i + 1).alias("line_no"), strip(line).alias("line"), context.alias("context")))
+    def found(every: Column) -> Column:
+        def around(line: Column, i: Column) -> Column:
+            start = F.greatest(i - before, F.lit(0))
+            context = F.slice(every, start + 1, i + after + 1 - start)
+            hit = line.contains("VERIFICATION FAILED") | line.contains("assertion")
+            return F.when(hit, F.struct((i + 1).alias("line_no"), strip(line).alias("line"), context.alias("context")))
 
-    return F.array_compact(F.transform(lines(stdout), around))
+        return F.array_compact(F.transform(every, around))
+
+    # The log is split once, not for every hit.
+    return let(lines(stdout), found)
 
 
 def proof_goals(stdout: Column, numeric: bool = False) -> Column:

@@ -61,6 +61,11 @@ def test_assertion_failures(spark):
     assert value(spark, logs.assertion_failures(F.col("t")), "assertion")[0]["context"] == ["assertion"]
 
 
+def test_assertion_failures_of_a_long_log(spark):
+    found = value(spark, logs.assertion_failures(F.col("t")), "assertion\n" * 50_000)
+    assert len(found) == 50_000 and found[-1]["line_no"] == 50_000
+
+
 def test_proof_goals(spark):
     out = "[wp] Proved: 5\n[wp] Failed: 2\n[wp] Total: 7"
     assert value(spark, logs.proof_goals(F.col("t"), numeric=True), out).asDict() == {"proved": 5, "total": 7, "percentage": 71.43}
