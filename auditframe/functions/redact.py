@@ -7,13 +7,14 @@ later rules see what earlier ones wrote.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditframe.functions import fixed_values as fixed
-from auditframe.functions.text import replace_matches, rewrite_matches
+from auditframe.functions.text import let, replace_matches, rewrite_matches
 
 LEVELS = ("low", "medium", "high")
 
@@ -148,6 +149,17 @@ def redact_text(
     return mask_hosts(text, level, host)
 
 
+def _last_of_equal_keys(pairs: Column) -> Column:
+    """Entries of a map without those whose key comes again, in their order."""
+    placed = F.array_sort(F.transform(pairs, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"))))
+
+    def last(entries: Column) -> Column:
+        ends = lambda e, i: F.coalesce(F.get(entries, i + 1)["key"] != e["key"], F.lit(True))
+        return F.array_sort(F.transform(F.filter(entries, ends), lambda e: e["place"]))
+
+    return F.transform(let(placed, last), lambda place: F.get(pairs, place))
+
+
 def redact_value(value: Column, data_type: T.DataType, level: str = "medium", **known: str | None) -> Column:
     """Redact every text inside a nested value, driven by its type.
 
@@ -174,18 +186,22 @@ def redact_value(value: Column, data_type: T.DataType, level: str = "medium", **
                 redact_value(e["value"], data_type.valueType, level, **known).alias("value"),
             ),
         )
-        # Two keys may become one; the last then wins, as with any later assignment.
-        last_wins = F.aggregate(
-            pairs,
-            F.filter(pairs, lambda _: F.lit(False)),
-            lambda kept, e: F.concat(F.filter(kept, lambda k: k["key"] != e["key"]), F.array(e)),
-        )
-        return F.map_from_entries(last_wins)
+        # Two keys may become one; the last then wins, as with any later assignment. Sorted by key and place, the
+        # last of equal keys stands before another key; the places then bring back the order.
+        return F.map_from_entries(let(pairs, _last_of_equal_keys))
     return redact_text(value.cast("string"), level, **known)
 
 
-def redact_frame(df: DataFrame, level: str = "medium", **known: str | None) -> DataFrame:
-    """Redact every text of every column, at any depth.
+def pseudonym(key: Column, redacted: Column) -> Column:
+    """A key as it is where the rules leave it alone, else its redacted text and 16 digits of its hash.
+
+    Keys that differ stay different and equal ones equal, in every table, so tables still join.
+    """
+    return F.when(redacted == key, key).otherwise(F.concat(redacted, F.lit("#"), F.left(F.sha2(key, 256), F.lit(16))))
+
+
+def redact_frame(df: DataFrame, level: str = "medium", keys: Sequence[str] = (), **known: str | None) -> DataFrame:
+    """Redact every text of every column, at any depth; ``keys`` name text columns that get pseudonyms.
 
     The text columns go through the rules as one array, so that the plan holds the rules once.
     """
@@ -195,7 +211,8 @@ def redact_frame(df: DataFrame, level: str = "medium", **known: str | None) -> D
 
     def column(field: T.StructField) -> Column:
         if field.name in texts:
-            return F.element_at("__texts", texts.index(field.name) + 1)
+            redacted = F.element_at("__texts", texts.index(field.name) + 1)
+            return pseudonym(F.col(f"`{field.name}`"), redacted) if field.name in keys else redacted
         return redact_value(F.col(f"`{field.name}`"), field.dataType, level, **known)
 
     return packed.select(*[column(f).alias(f.name) for f in df.schema.fields])

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from auditframe.functions import redact
-from auditframe.functions.text import rewrite_matches
+from auditframe.functions.text import let, rewrite_matches
 
 
 def apply(spark, rule, text):
@@ -163,3 +163,24 @@ def test_no_plant_survives(spark, kinds, filler):
     out = apply(spark, lambda t: redact.redact_text(t, "high"), text)
     for kind in kinds:
         assert PLANTS[kind] not in out
+
+
+def test_last_of_equal_map_keys_stays_in_order(spark):
+    df = spark.sql("SELECT map('a@example.com', 1, 'k', 2, 'b@example.com', 3, 'l', 4) AS m, CAST(NULL AS map<string,int>) AS none")
+    found = redact.redact_frame(df, "high").select(F.map_entries("m").alias("m"), "none").first()
+    assert [tuple(e) for e in found["m"]] == [("k", 2), ("[EMAIL_REDACTED]", 3), ("l", 4)]
+    assert found["none"] is None
+
+
+def test_map_of_many_keys(spark):
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat(F.lit("k"), (i % 60_000).cast("string")))
+    pairs = F.transform(numbers, lambda k, i: F.struct(k.alias("key"), i.alias("value")))
+    # Distinct keys by construction of a map; the helper itself is given repeated ones.
+    found = spark.range(1).select(F.map_from_entries(let(pairs, redact._last_of_equal_keys)).alias("m")).first()["m"]
+    assert len(found) == 60_000 and found["k1"] == 60_000 and found["k59999"] == 59_998
+
+
+def test_keys_stay_distinct(spark):
+    ids = ["a" * 40, "b" * 40, "plain"]
+    out = [r["id"] for r in redact.redact_frame(spark.createDataFrame([(i,) for i in ids], "id string"), "high", keys=("id",)).collect()]
+    assert len(set(out)) == 3 and out[2] == "plain" and not set(out) & set(ids[:2])
