@@ -9,7 +9,6 @@ from auditframe.catalog.joins import CORRELATED_VIEWS, FILE_METRICS, RELATED, co
 from auditframe.catalog.registry import (
     AS_OF_COMMITS,
     AS_OF_FILES,
-    line_claims,
     lint_findings,
     query,
     rounded,
@@ -392,7 +391,7 @@ def _claims_by(group: str) -> str:
 
 
 def _with_strategy(b: Bindings):
-    return verdicts.with_strategy(line_claims(b).withColumn("related", F.lit(0)))
+    return verdicts.with_strategy(correlated(b))
 
 
 @query("a15_claims_by_type", _claims_by("claim_type"), ("claims",))

@@ -250,10 +250,11 @@ def warning_lines(b: Bindings):
     ("files", "stdout_counts", "claims"),
 )
 def gate_status(b: Bindings):
+    from auditframe.catalog.aggregates import judged
     from auditframe.operators.grouping import join_groups
 
     tests = findings.test_totals(test_summary(b.test_runs)).select("repo_id", F.col("failed").alias("failed_tests"))
-    claims = line_claims(b).filter(F.col("claim_type") == "api")
+    claims = judged(b).filter(F.col("status") == "failed")
     failed = claims.groupBy("repo_id").agg(F.count("*").alias("failed_claims"))
     repositories = b.files.select("repo_id").distinct()
     rows = join_groups(join_groups(repositories, tests, ["repo_id"]), failed, ["repo_id"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditframe.catalog.aggregates import FILE_CHANGES, FILE_CHURN, FILE_ROLLUP, STATIC_COUNTS, STATIC_VIEWS, static_findings
-from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, line_claims, query, rounded, seconds, sql_verifiable
+from auditframe.catalog.joins import correlated
+from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, query, rounded, seconds, sql_verifiable
 from auditframe.functions.fixed_values import ABANDONED_SUFFIXES, EXCLUDED_PARTS, HISTORY_CODE_SUFFIXES
 from auditframe.operators import history, metrics, verdicts
 from auditframe.operators.findings import union_all
@@ -265,7 +266,5 @@ def without_excluded_paths(b: Bindings):
 )
 def unverifiable_claims(b: Bindings):
     """All claims less the verifiable ones, as whole rows."""
-    claims = verdicts.with_strategy(line_claims(b).withColumn("related", F.lit(0))).select(
-        "repo_id", "claim_id", "verifiable"
-    )
+    claims = verdicts.with_strategy(correlated(b)).select("repo_id", "claim_id", "verifiable")
     return claims.exceptAll(claims.filter("verifiable")).drop("verifiable")
