@@ -16,6 +16,7 @@ from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, query, round
 from auditframe.functions.fixed_values import COMPLEXITY_BINS, INSIGHTS, ISSUE_ADVICE, REPORT_ADVICE
 from auditframe.operators import discovery, findings, history, metrics
 from auditframe.operators.findings import union_all
+from auditframe.operators.grouping import join_groups
 from auditframe.plans import report, scoring
 from auditframe.session import stage
 from auditframe.sources.bindings import Bindings
@@ -97,15 +98,25 @@ _VIEWS = (
 )
 
 
+def _lines(b: Bindings):
+    return metrics.line_metrics(union_all([b.files, b.source_docs]))
+
+
+def _complexity_summary(b: Bindings, rollup):
+    """Complexities of the files with functions, and the lines of all source files."""
+    summary = metrics.complexity_summary(rollup).drop("total_loc")
+    return join_groups(summary, metrics.total_lines(_lines(b)), ("repo_id",)).fillna(0, ["total_loc"])
+
+
 def summary_row(b: Bindings):
-    rollup = metrics.file_rollup(b.function_metrics).withColumn("loc", F.lit(0))
+    rollup = metrics.file_metrics(b.function_metrics, _lines(b))
     names = b.project_files
     frameworks = discovery.detected_frameworks(names).groupBy("repo_id").agg(F.count("*").alias("frameworks"))
     git = history_row(b)
     return scoring.combine(
         names.select("repo_id").distinct(),
         [
-            metrics.complexity_summary(rollup),
+            _complexity_summary(b, rollup),
             scoring.high_complexity(b.function_metrics),
             scoring.findings_summary(union_all([scanner_findings(b), type_findings(b)])),
             findings.test_totals(test_summary(b.test_runs)).drop("frameworks_used"),
@@ -341,9 +352,9 @@ def git_report(b: Bindings):
 
 
 def _complexity_block(b: Bindings):
-    rollup = metrics.file_rollup(b.function_metrics).withColumn("loc", F.lit(0))
+    rollup = metrics.file_metrics(b.function_metrics, _lines(b))
     return report.complexity_report(
-        metrics.complexity_summary(rollup), metrics.complexity_distribution(b.function_metrics),
+        _complexity_summary(b, rollup), metrics.complexity_distribution(b.function_metrics),
         metrics.top_complex_files(rollup),
     )
 

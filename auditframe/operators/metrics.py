@@ -104,6 +104,11 @@ def complexity_summary(metrics: DataFrame, by: By = REPO) -> DataFrame:
     )
 
 
+def total_lines(lines: DataFrame, by: By = REPO) -> DataFrame:
+    """Lines of all source files, also of those without a function."""
+    return lines.groupBy(*by).agg(F.sum("loc").cast("bigint").alias("total_loc"))
+
+
 def top_complex_files(metrics: DataFrame, k: int = 10, by: By = REPO) -> DataFrame:
     return top_k(metrics, k, [F.desc("total_complexity"), F.asc("path")], by)
 
