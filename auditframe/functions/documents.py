@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import fixed_values as fixed
 from auditframe.functions.classify import any_case, claim_confidence, is_documentation
-from auditframe.functions.text import WORD, find_all, is_blank, lines, may_hold, strip, suffix
+from auditframe.functions.text import WORD, find_all, is_blank, let, lines, may_hold, strip, suffix
 
 GENERAL = "General"
 
@@ -119,6 +119,68 @@ def _plain(html: Column) -> Column:
     return text
 
 
+# Elements without an end tag, and those whose texts are units.
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+_UNIT_ELEMENTS = ("p", "li", "code")
+_TAG = r"</?[a-zA-Z][^>]*>"
+
+
+def _html_elements(html: Column) -> Column:
+    """Whole inner HTML of the outermost unit elements, each up to its own end tag.
+
+    One pass over the tags keeps the names of the open elements. An end tag closes the last element of its
+    name and all within; without such an element it counts for nothing. Elements that stay open end with the HTML.
+    """
+    # Each piece but the first begins with a tag.
+    pieces = F.transform(
+        F.split(html, f"(?={_TAG})"),
+        lambda piece: F.struct(
+            F.lower(F.regexp_extract(piece, r"\A</?([a-zA-Z][^\s/>]*)", 1)).alias("name"),
+            piece.startswith("</").alias("ends"),
+            piece.rlike(r"\A<[^>]*/>").alias("closed"),
+            F.regexp_replace(piece, rf"\A{_TAG}", "").alias("text"),
+        ),
+    )
+    start = F.struct(
+        F.array().cast("array<string>").alias("open"),
+        F.lit(0).alias("depth"),
+        F.lit("").alias("text"),
+        F.array().cast("array<string>").alias("found"),
+    )
+
+    def step(state: Column, piece: Column) -> Column:
+        opened, depth = state["open"], state["depth"]
+        last = F.array_position(F.reverse(opened), piece["name"]).cast("int")
+        opens = (piece["name"] != "") & ~piece["ends"] & ~piece["closed"] & ~piece["name"].isin(*_VOID)
+        stack = (
+            F.when(piece["ends"] & (last > 0), F.slice(opened, F.lit(1), F.size(opened) - last))
+            .when(opens, F.concat(opened, F.array(piece["name"])))
+            .otherwise(opened)
+        )
+
+        def moved(after: Column) -> Column:
+            begins = (depth == 0) & opens & piece["name"].isin(*_UNIT_ELEMENTS)
+            inside = (depth > 0) & (F.size(after) >= depth)
+            return F.struct(
+                after.alias("open"),
+                F.when(begins, F.size(after)).when(inside, depth).otherwise(0).alias("depth"),
+                F.when(begins, piece["text"])
+                .when(inside, F.concat(state["text"], piece["text"]))
+                .otherwise("")
+                .alias("text"),
+                F.when((depth > 0) & ~inside, F.concat(state["found"], F.array(state["text"])))
+                .otherwise(state["found"])
+                .alias("found"),
+            )
+
+        return let(stack, moved)
+
+    def finish(state: Column) -> Column:
+        return F.when(state["depth"] > 0, F.concat(state["found"], F.array(state["text"]))).otherwise(state["found"])
+
+    return F.aggregate(pieces, start, step, finish)
+
+
 def html_units(html: Column) -> Column:
     """Text of paragraphs, list items and code under the latest heading; nested elements count once."""
     heading = r"(?is)\A<(h[1-3])\b[^>]*>(.*?)</\1>"
@@ -128,7 +190,7 @@ def html_units(html: Column) -> Column:
         headed = section.rlike(heading)
         context = F.when(headed, _plain(F.regexp_extract(section, heading, 2))).otherwise(GENERAL)
         rest = F.when(headed, F.regexp_replace(section, heading, "")).otherwise(section)
-        elements = F.transform(find_all(rest, r"(?is)<(p|li|code)\b[^>]*>(.*?)</\1>", 2), _plain)
+        elements = F.transform(_html_elements(rest), _plain)
         return F.filter(
             F.transform(
                 elements,
