@@ -10,11 +10,12 @@ from auditframe.catalog.aggregates import (
     REPOSITORY_INFO,
     TEST_TOTALS,
     VERSION_STATS,
+    judged,
 )
 from auditframe.catalog.rankings import FEATURE_COMMITS, OUTDATED
-from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, query, rounded, scanner_findings, type_findings
+from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, lint_findings, query, rounded, scanner_findings, type_findings
 from auditframe.functions.fixed_values import COMPLEXITY_BINS, INSIGHTS, ISSUE_ADVICE, REPORT_ADVICE
-from auditframe.operators import discovery, findings, history, metrics
+from auditframe.operators import discovery, findings, history, metrics, verdicts
 from auditframe.operators.findings import union_all
 from auditframe.operators.grouping import join_groups
 from auditframe.plans import report, scoring
@@ -386,13 +387,27 @@ def complexity_report(b: Bindings):
 
 @query("k1_report_document")
 def report_document(b: Bindings):
-    """The whole report of each repository as one JSON text."""
+    """The whole report of each repository as one JSON text. Blocks are written one by one, as their plans are large."""
     scored = stage(scoring.scored(summary_row(b)), "summary")
     counts = issue_rows(b, scored).groupBy("repo_id").agg(
         F.count("*").alias("critical_issues"), F.count_if(F.col("severity") == "critical").alias("critical")
     )
+    secrets = scoring.secrets_as_findings(findings.secret_findings(b.files))
+    found = union_all([scanner_findings(b), type_findings(b), lint_findings(b), secrets])
+    contracts = b.tool_logs.groupBy("repo_id", "language").agg(F.array_sort(F.collect_set("tool")).alias("tools_used"))
     document = report.report_document(
-        scored, _complexity_block(b), git_block(b), metrics.report_languages(b.project_files.drop("text")), counts
+        scored,
+        stage(_complexity_block(b), "complexity"),
+        stage(git_block(b), "git"),
+        metrics.report_languages(b.project_files.drop("text")),
+        stage(counts, "issue-counts"),
+        verification=[
+            stage(report.verification_report(findings.issues_per_tool(found)), "verification"),
+            report.contracts_report(contracts),
+        ],
+        claims=stage(verdicts.verdict_summary(judged(b)), "claim-summary"),
+        details=report.finding_counts(findings.detailed_findings(b.function_metrics, scanner_findings(b))),
+        advice=report.advice_list(scoring.recommendations(scored)),
     )
     return report.as_json(document)
 

@@ -104,8 +104,25 @@ def audit(
     advice = scoring.recommendations(scored, by)
     told = scoring.insights(scored.filter(F.col("has_history")), by)
 
+    counts = issues.groupBy(*by).agg(
+        F.count("*").alias("critical_issues"), F.count_if(F.col("severity") == "critical").alias("critical")
+    )
+    document = report.report_document(
+        scored,
+        report.complexity_report(complexity, distribution, top_files, by),
+        report.git_report(git, history.top_contributors(tables.commits, as_of, by=by), told, by),
+        languages,
+        counts,
+        by,
+        [report.verification_report(findings.issues_per_tool(all_findings, by), by)],
+        claim_totals,
+        report.finding_counts(findings.detailed_findings(tables.function_metrics, all_findings), by),
+        report.advice_list(advice, by),
+    )
+
     results = {
         "summary": scored,
+        "document": document,
         "claims": judged,
         "claim_summary": verdicts.documentation_summary(judged, documentation_files(names), references, by),
         "verdict_summary": claim_totals,

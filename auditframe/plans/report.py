@@ -101,6 +101,43 @@ def complexity_report(
     return rows.select(*by, metrics.alias("metrics"), "complexity_distribution", "top_complex_files")
 
 
+def verification_report(issues: DataFrame, by: By = REPO) -> DataFrame:
+    """Number of issues per tool, for each kind of check. Tools are few, so the maps are bounded."""
+
+    def of(category: str) -> Column:
+        entry = F.when(F.col("category") == category, F.struct("tool", "total_issues"))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+
+    return issues.groupBy(*by).agg(
+        of("security").alias("security_summary"),
+        of("type_checking").alias("type_checking_summary"),
+        of("linting").alias("static_analysis_summary"),
+    )
+
+
+def contracts_report(checks: DataFrame, by: By = REPO) -> DataFrame:
+    """Contract tools per language; languages are few."""
+    tools = F.struct("tools_used", F.size("tools_used").alias("files_analyzed"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("language"), tools.alias("tools"))))
+    return checks.groupBy(*by).agg(F.map_from_entries(entries).alias("contracts_verified"))
+
+
+def finding_counts(findings: DataFrame, by: By = REPO) -> DataFrame:
+    """Sizes of the detailed findings, which stay rows: complex functions and results of security tools."""
+    category = F.col("category")
+    return findings.groupBy(*by).agg(
+        F.count_if(category == "complexity").alias("complexity_issues"),
+        F.count_if(category == "security").alias("security_issues"),
+    )
+
+
+def advice_list(recommendations: DataFrame, by: By = REPO) -> DataFrame:
+    """All recommendations of a repository; at most one per rule."""
+    told = F.struct("rule", "category", "priority", "recommendation", "action")
+    listed = F.array_sort(F.collect_list(told))
+    return recommendations.groupBy(*by).agg(listed.alias("recommendations"))
+
+
 def report_document(
     scored: DataFrame,
     complexity: DataFrame,
@@ -108,8 +145,12 @@ def report_document(
     languages: DataFrame,
     issue_counts: DataFrame,
     by: By = REPO,
+    verification: list[DataFrame] | None = None,
+    claims: DataFrame | None = None,
+    details: DataFrame | None = None,
+    advice: DataFrame | None = None,
 ) -> DataFrame:
-    """One nested row per repository."""
+    """One nested row per repository. Blocks of ``verification`` are joined into one."""
     rows = scored.select(
         *by,
         F.struct(
@@ -126,7 +167,17 @@ def report_document(
         columns = [c for c in part.columns if c not in by]
         block = part.select(*by, F.struct(*columns).alias(name))
         rows = join_groups(rows, block, by)
-    return rows
+    if verification:
+        parts = scored.select(*by)
+        for part in verification:
+            parts = join_groups(parts, part, by)
+        blocks = [c for c in parts.columns if c not in by]
+        rows = join_groups(rows, parts.select(*by, F.struct(*blocks).alias("verification_analysis")), by)
+    for name, part in (("claim_summary", claims), ("detailed_findings", details)):
+        if part is not None:
+            columns = [c for c in part.columns if c not in by]
+            rows = join_groups(rows, part.select(*by, F.struct(*columns).alias(name)), by)
+    return rows if advice is None else join_groups(rows, advice, by)
 
 
 # --- console --------------------------------------------------------------------------------------
