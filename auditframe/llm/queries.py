@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import attribution, chat, language, minhash, mixing, packing, radix, sharding, sql, weak_labels, winnowing
+from auditframe.llm import (
+    attribution, chat, interactions, language, lexical, minhash, mixing, packing, radix, set_join, sharding, sql, weak_labels, winnowing,
+)
 from auditframe.llm.common import WORD, documents, shipped
 from auditframe.session import stage
 
@@ -94,12 +96,43 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose three-word shingle sets are similar by 0.9 or more."""
+    return set_join.linked_sets(documents(spark, folder))
+
+
+def op12_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders of five filters in every language: what each step keeps, removes, repeats and costs."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    filters = {
+        "A": F.size(words) < 200,
+        "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words),
+        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 3 * F.length(text),
+        "D": text.rlike("[#$%&*|]"),
+    }
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    masks, names = interactions.failure_masks(documents(spark, folder), labels, filters, repeats="E")
+    return interactions.interactions(masks, names)
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_attribution, op2_best_fit_packing, op3_language_id, op4_minhash, op5_mixing, op6_chat_windows, op7_winnowing,
-        op8_quality, op9_exact_dedup, op10_sharding,
+        op8_quality, op9_exact_dedup, op10_sharding, op11_ngram_jaccard, op12_filter_interactions, op13_lexical_search,
     )
 }
 
-ORACLES: dict[str, str] = {"op4_minhash": sql.NEAR_DUPLICATES, "op9_exact_dedup": sql.EXACT_DEDUP}
+ORACLES: dict[str, str] = {
+    "op4_minhash": sql.NEAR_DUPLICATES,
+    "op9_exact_dedup": sql.EXACT_DEDUP,
+    "op11_ngram_jaccard": sql.LINKED_SETS,
+    "op12_filter_interactions": sql.FILTER_INTERACTIONS,
+    "op13_lexical_search": sql.LEXICAL_SEARCH,
+}
