@@ -26,7 +26,7 @@ from auditframe.functions.fixed_values import (
     SEMVER,
     VERIFICATION_ADVICE,
 )
-from auditframe.operators import claims, discovery, findings, history, metrics, verdicts
+from auditframe.operators import claims, correlate, discovery, findings, history, metrics, verdicts
 from auditframe.operators.findings import union_all
 from auditframe.sources.bindings import Bindings
 from auditframe.sources.files import documentation_files
@@ -308,7 +308,7 @@ def version_stats(b: Bindings):
 
 # --- claims ---------------------------------------------------------------------------------------
 
-_JUDGED_CLAIMS = f"""
+JUDGED_CLAIMS = f"""
     SELECT c.*, coalesce(r.related, 0) AS related, {sql_method('c.claim_type')} AS verification_method,
            {sql_verifiable('c.claim_type', 'r.related')} AS verifiable
     FROM claims c LEFT JOIN ({RELATED}) r ON r.repo_id = c.repo_id AND r.claim_id = c.claim_id"""
@@ -332,7 +332,7 @@ VERDICTS = f"""
                 WHEN 'security_test' THEN 'Security verification requires dedicated security analysis'
                 ELSE CASE WHEN related > 0 THEN concat('Found related code in ', related, ' files')
                           ELSE 'Unable to automatically verify this claim' END END AS evidence
-    FROM ({_JUDGED_CLAIMS}) j LEFT JOIN ({_BENCHMARKS}) b ON b.repo_id = j.repo_id"""
+    FROM ({JUDGED_CLAIMS}) j LEFT JOIN ({_BENCHMARKS}) b ON b.repo_id = j.repo_id"""
 JUDGED_VIEWS = (*CORRELATED_VIEWS, "project_files")
 
 
@@ -348,6 +348,48 @@ def claim_verdicts(b: Bindings):
     )
 
 
+@query(
+    "p15_gate_status",
+    f"""
+    SELECT r.repo_id, t.failed AS failed_tests, coalesce(c.failed, 0) AS failed_claims,
+           CAST(CASE WHEN coalesce(t.failed, 0) > 0 THEN 1 WHEN coalesce(c.failed, 0) > 0 THEN 2 ELSE 0 END AS INT)
+               AS gate_status
+    FROM (SELECT DISTINCT repo_id FROM files) r
+    LEFT JOIN (SELECT repo_id, CAST(sum(failed) AS BIGINT) AS failed FROM stdout_counts GROUP BY repo_id) t
+           ON r.repo_id = t.repo_id
+    LEFT JOIN (SELECT repo_id, count(*) AS failed FROM ({VERDICTS}) WHERE status = 'failed' GROUP BY repo_id) c
+           ON r.repo_id = c.repo_id""",
+    ("stdout_counts", *JUDGED_VIEWS),
+)
+def gate_status(b: Bindings):
+    return verdicts.gate(b.files.select("repo_id").distinct(), findings.test_totals(test_summary(b.test_runs)), judged(b))
+
+
+@query(
+    "p15_gate_of_packages",
+    """
+    SELECT r.repo_id, t.failed AS failed_tests, coalesce(c.failed, 0) AS failed_claims,
+           CAST(CASE WHEN coalesce(t.failed, 0) > 0 THEN 1 WHEN coalesce(c.failed, 0) > 0 THEN 2 ELSE 0 END AS INT)
+               AS gate_status
+    FROM (SELECT DISTINCT repo_id FROM package_docs) r
+    LEFT JOIN (SELECT repo_id, CAST(sum(coalesce(TRY_CAST(regexp_extract(stdout, '([0-9]+) failed', 1) AS BIGINT), 0)) AS BIGINT)
+                      AS failed FROM package_tests GROUP BY repo_id) t ON r.repo_id = t.repo_id
+    LEFT JOIN (SELECT p.repo_id, count(*) AS failed FROM package_claims p
+               WHERE p.claim_type = 'api' AND NOT EXISTS (
+                   SELECT 1 FROM package_symbols s WHERE s.repo_id = p.repo_id
+                     AND list_contains(regexp_extract_all(p.text, '[A-Za-z0-9_]+'), s.symbol))
+               GROUP BY p.repo_id) c ON r.repo_id = c.repo_id""",
+    ("package_docs", "package_tests", "package_claims", "package_symbols"),
+)
+def gate_of_packages(b: Bindings):
+    """Packages of which some document functions that no code has: the gate's third status."""
+    found = claims.extract_claims(b.package_docs.withColumnRenamed("claim_id", "line_id"))
+    found = claims.with_claim_id(found, ["line_id", "claim_type", "pattern_no", "match_no"])
+    related = correlate.correlate(found, b.package_code)
+    verdict = verdicts.verdicts(verdicts.with_strategy(related), b.package_code.drop("text"))
+    return verdicts.gate(b.package_docs.select("repo_id").distinct(), findings.test_totals(test_summary(b.package_tests)), verdict)
+
+
 @query(
     "a13_verdict_summary",
     f"""
@@ -369,7 +411,7 @@ def verdict_summary(b: Bindings):
     FROM (SELECT repo_id, count(*) AS total_claims, CAST(count_if(verifiable) AS BIGINT) AS verifiable_claims,
                  round(count_if(verifiable) * 100.0 / count(*), 6) AS verification_rate,
                  CAST(count_if(confidence >= 0.7) AS BIGINT) AS high_confidence_claims
-          FROM ({_JUDGED_CLAIMS}) GROUP BY repo_id) s
+          FROM ({JUDGED_CLAIMS}) GROUP BY repo_id) s
     LEFT JOIN (SELECT repo_id, count(*) AS n FROM markdown_docs GROUP BY repo_id) d ON d.repo_id = s.repo_id
     LEFT JOIN (SELECT repo_id, 4 * count(*) AS n FROM markdown_docs GROUP BY repo_id) f ON f.repo_id = s.repo_id""",
     (*CORRELATED_VIEWS, "markdown_docs"),
@@ -387,20 +429,20 @@ def _claims_by(group: str) -> str:
     return f"""
     SELECT repo_id, {group}, count(*) AS claims, CAST(count_if(verifiable) AS BIGINT) AS verifiable_claims,
            round(avg(confidence), 6) AS average_confidence
-    FROM (SELECT *, {sql_verifiable('claim_type', '0')} AS verifiable FROM claims) GROUP BY repo_id, {group}"""
+    FROM ({JUDGED_CLAIMS}) GROUP BY repo_id, {group}"""
 
 
 def _with_strategy(b: Bindings):
     return verdicts.with_strategy(correlated(b))
 
 
-@query("a15_claims_by_type", _claims_by("claim_type"), ("claims",))
+@query("a15_claims_by_type", _claims_by("claim_type"), CORRELATED_VIEWS)
 def claims_by_type(b: Bindings):
     grouped = verdicts.claims_by(_with_strategy(b), "claim_type")
     return grouped.withColumn("average_confidence", rounded("average_confidence"))
 
 
-@query("a15_claims_by_source", _claims_by("line_id"), ("claims",))
+@query("a15_claims_by_source", _claims_by("line_id"), CORRELATED_VIEWS)
 def claims_by_source(b: Bindings):
     grouped = verdicts.claims_by(_with_strategy(b), "line_id")
     return grouped.withColumn("average_confidence", rounded("average_confidence"))
@@ -423,7 +465,7 @@ def _advice_sql() -> str:
                                              ORDER BY line_id, claim_type, pattern_no, match_no) AS r
                 FROM (SELECT *, CASE WHEN NOT verifiable THEN 'review'
                                      WHEN verification_method IN ({methods}) THEN verification_method END AS advice
-                      FROM ({_JUDGED_CLAIMS})) WHERE advice IS NOT NULL)
+                      FROM ({JUDGED_CLAIMS})) WHERE advice IS NOT NULL)
           GROUP BY repo_id, advice)"""
 
 

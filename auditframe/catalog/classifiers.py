@@ -28,7 +28,6 @@ from auditframe.functions.fixed_values import (
 from auditframe.operators import findings, history, metrics, verdicts
 from auditframe.operators.findings import union_all
 from auditframe.sources.bindings import Bindings
-from auditframe.sources.reports import test_summary
 
 _BOTH = "(SELECT repo_id, path FROM files UNION ALL SELECT repo_id, path FROM project_files)"
 
@@ -236,31 +235,6 @@ def warning_lines(b: Bindings):
     return b.tool_logs.select("repo_id", "path", F.explode(classify.warning_lines(F.col("stdout"))).alias("warning"))
 
 
-@query(
-    "p15_gate_status",
-    """
-    SELECT r.repo_id, t.failed AS failed_tests, c.failed AS failed_claims,
-           CAST(CASE WHEN coalesce(t.failed, 0) > 0 THEN 1 WHEN coalesce(c.failed, 0) > 0 THEN 2 ELSE 0 END AS INT)
-               AS gate_status
-    FROM (SELECT DISTINCT repo_id FROM files) r
-    LEFT JOIN (SELECT repo_id, CAST(sum(failed) AS BIGINT) AS failed FROM stdout_counts GROUP BY repo_id) t
-           ON r.repo_id = t.repo_id
-    LEFT JOIN (SELECT repo_id, count(*) AS failed FROM claims WHERE claim_type = 'api' GROUP BY repo_id) c
-           ON r.repo_id = c.repo_id""",
-    ("files", "stdout_counts", "claims"),
-)
-def gate_status(b: Bindings):
-    from auditframe.catalog.aggregates import judged
-    from auditframe.operators.grouping import join_groups
-
-    tests = findings.test_totals(test_summary(b.test_runs)).select("repo_id", F.col("failed").alias("failed_tests"))
-    claims = judged(b).filter(F.col("status") == "failed")
-    failed = claims.groupBy("repo_id").agg(F.count("*").alias("failed_claims"))
-    repositories = b.files.select("repo_id").distinct()
-    rows = join_groups(join_groups(repositories, tests, ["repo_id"]), failed, ["repo_id"])
-    return rows.withColumn("gate_status", classify.gate_status(F.col("failed_tests"), F.col("failed_claims")))
-
-
 @query(
     "w9_version_key",
     r"""

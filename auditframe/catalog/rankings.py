@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditframe.catalog.aggregates import FILE_CHANGES, FILE_CHURN, FILE_ROLLUP, STATIC_COUNTS, STATIC_VIEWS, static_findings
-from auditframe.catalog.joins import correlated
-from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, query, rounded, seconds, sql_verifiable
+from auditframe.catalog.aggregates import (
+    FILE_CHANGES, FILE_CHURN, FILE_ROLLUP, JUDGED_CLAIMS, STATIC_COUNTS, STATIC_VIEWS, static_findings,
+)
+from auditframe.catalog.joins import CORRELATED_VIEWS, correlated
+from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, query, rounded, seconds
 from auditframe.functions.fixed_values import ABANDONED_SUFFIXES, EXCLUDED_PARTS, HISTORY_CODE_SUFFIXES
 from auditframe.operators import history, metrics, verdicts
 from auditframe.operators.findings import union_all
@@ -261,8 +263,8 @@ def without_excluded_paths(b: Bindings):
 
 @query(
     "u4_unverifiable_claims",
-    f"SELECT repo_id, claim_id FROM claims WHERE NOT {sql_verifiable('claim_type', '0')}",
-    ("claims",),
+    f"SELECT repo_id, claim_id FROM ({JUDGED_CLAIMS}) WHERE NOT verifiable",
+    CORRELATED_VIEWS,
 )
 def unverifiable_claims(b: Bindings):
     """All claims less the verifiable ones, as whole rows."""

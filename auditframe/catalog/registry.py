@@ -109,6 +109,14 @@ _DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                 regexp_extract_all(text, 'class{SPACE}+({_WORD}){SPACE}*\x7b', 1))) AS symbol
             FROM code_files WHERE path LIKE '%.js' OR path LIKE '%.ts')""",
     ),
+    "package_claims": (
+        ("package_docs",),
+        sql_claims("(SELECT repo_id, claim_id AS line_id, text FROM package_docs)", "repo_id, line_id"),
+    ),
+    "package_symbols": (
+        ("package_code",),
+        r"SELECT DISTINCT repo_id, regexp_extract(text, 'def ([A-Za-z0-9_]+)\(', 1) AS symbol FROM package_code",
+    ),
     "function_findings": (
         ("security_reports",),
         """

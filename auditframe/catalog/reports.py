@@ -12,12 +12,12 @@ from auditframe.catalog.aggregates import (
     VERSION_STATS,
     judged,
 )
+from auditframe.catalog.classifiers import LINE_METRICS
 from auditframe.catalog.rankings import FEATURE_COMMITS, OUTDATED
 from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, lint_findings, query, rounded, scanner_findings, type_findings
 from auditframe.functions.fixed_values import COMPLEXITY_BINS, INSIGHTS, ISSUE_ADVICE, REPORT_ADVICE
 from auditframe.operators import discovery, findings, history, metrics, verdicts
 from auditframe.operators.findings import union_all
-from auditframe.operators.grouping import join_groups
 from auditframe.plans import report, scoring
 from auditframe.session import stage
 from auditframe.sources.bindings import Bindings
@@ -103,12 +103,6 @@ def _lines(b: Bindings):
     return metrics.line_metrics(union_all([b.files, b.source_docs]))
 
 
-def _complexity_summary(b: Bindings, rollup):
-    """Complexities of the files with functions, and the lines of all source files."""
-    summary = metrics.complexity_summary(rollup).drop("total_loc")
-    return join_groups(summary, metrics.total_lines(_lines(b)), ("repo_id",)).fillna(0, ["total_loc"])
-
-
 def summary_row(b: Bindings):
     rollup = metrics.file_metrics(b.function_metrics, _lines(b))
     names = b.project_files
@@ -117,7 +111,7 @@ def summary_row(b: Bindings):
     return scoring.combine(
         names.select("repo_id").distinct(),
         [
-            _complexity_summary(b, rollup),
+            metrics.summary_with_lines(rollup, _lines(b)),
             scoring.high_complexity(b.function_metrics),
             scoring.findings_summary(union_all([scanner_findings(b), type_findings(b)])),
             findings.test_totals(test_summary(b.test_runs)).drop("frameworks_used"),
@@ -355,7 +349,7 @@ def git_report(b: Bindings):
 def _complexity_block(b: Bindings):
     rollup = metrics.file_metrics(b.function_metrics, _lines(b))
     return report.complexity_report(
-        _complexity_summary(b, rollup), metrics.complexity_distribution(b.function_metrics),
+        metrics.summary_with_lines(rollup, _lines(b)), metrics.complexity_distribution(b.function_metrics),
         metrics.top_complex_files(rollup),
     )
 
@@ -441,7 +435,9 @@ _BIN_LINES = " UNION ALL ".join(
     "k3_console_summary",
     f"""
     SELECT repo_id, 0 AS ord, 'Files analyzed' AS metric, CAST(total_files AS VARCHAR) AS value FROM ({_SUMMARY})
-    UNION ALL SELECT repo_id, 10, 'Total lines', '0' FROM ({_SUMMARY})
+    UNION ALL SELECT s.repo_id, 10, 'Total lines', CAST(coalesce(l.loc, 0) AS VARCHAR)
+              FROM ({_SUMMARY}) s LEFT JOIN (SELECT repo_id, CAST(sum(loc) AS BIGINT) AS loc FROM ({LINE_METRICS}) GROUP BY repo_id) l
+                ON l.repo_id = s.repo_id
     UNION ALL SELECT repo_id, 20, 'Average complexity', printf('%.2f', average_complexity) FROM ({_SUMMARY})
     UNION ALL SELECT repo_id, 30, 'Total tests', CAST(total_tests AS VARCHAR) FROM ({_SUMMARY}) WHERE total_tests > 0
     UNION ALL SELECT repo_id, 40, 'Passed', CAST(passed AS VARCHAR) FROM ({_SUMMARY}) WHERE total_tests > 0
@@ -451,7 +447,7 @@ _BIN_LINES = " UNION ALL ".join(
     UNION ALL SELECT repo_id, 80, 'Security issues found', CAST(security_issues AS VARCHAR) FROM ({_SUMMARY})
     UNION ALL SELECT repo_id, 100, 'Type checking issues', CAST(type_errors AS VARCHAR) FROM ({_SUMMARY}) WHERE type_errors > 0
     UNION ALL {_BIN_LINES}""",
-    _VIEWS,
+    (*_VIEWS, "files", "source_docs"),
 )
 def console_summary(b: Bindings):
     return report.console_summary(scoring.scored(summary_row(b)), metrics.complexity_distribution(b.function_metrics))

@@ -109,6 +109,12 @@ def total_lines(lines: DataFrame, by: By = REPO) -> DataFrame:
     return lines.groupBy(*by).agg(F.sum("loc").cast("bigint").alias("total_loc"))
 
 
+def summary_with_lines(file_metrics: DataFrame, lines: DataFrame, by: By = REPO) -> DataFrame:
+    """Complexities of the files with functions, and the lines of all source files."""
+    summary = complexity_summary(file_metrics, by).drop("total_loc")
+    return join_groups(summary, total_lines(lines, by), by).fillna(0, ["total_loc"])
+
+
 def top_complex_files(metrics: DataFrame, k: int = 10, by: By = REPO) -> DataFrame:
     return top_k(metrics, k, [F.desc("total_complexity"), F.asc("path")], by)
 

@@ -147,3 +147,14 @@ def verification_recommendations(
         "examples",
         column(4).alias("suggested_approach"),
     )
+
+
+def gate(repositories: DataFrame, test_totals: DataFrame, judged: DataFrame, by: By = REPO) -> DataFrame:
+    """Failed tests, failed claims and the gate status of every repository.
+
+    A repository without a failed claim has 0 of them; one whose tests never ran has no number of failed tests.
+    """
+    tests = test_totals.select(*by, F.col("failed").alias("failed_tests"))
+    failed = judged.filter(F.col("status") == "failed").groupBy(*by).agg(F.count("*").alias("failed_claims"))
+    rows = join_groups(join_groups(repositories, tests, by), failed, by).fillna(0, ["failed_claims"])
+    return rows.withColumn("gate_status", classify.gate_status(F.col("failed_tests"), F.col("failed_claims")))

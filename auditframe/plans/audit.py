@@ -68,7 +68,7 @@ def audit(
     # Metrics, tests, history.
     lines = metrics.line_metrics(facts, by)
     file_metrics = metrics.file_metrics(tables.function_metrics, lines, by)
-    complexity = metrics.complexity_summary(file_metrics, by)
+    complexity = metrics.summary_with_lines(file_metrics, lines, by)
     distribution = metrics.complexity_distribution(tables.function_metrics, by)
     top_files = metrics.top_complex_files(file_metrics, by=by)
     runs = test_summary(tables.test_runs)

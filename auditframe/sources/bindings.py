@@ -251,6 +251,23 @@ VIEWS |= {
                       ELSE ' ValueError:' END, chr(10), '        pass', chr(10), 'class C', {_KEY}, ':', chr(10), chr(10),
                       '    # comment', chr(10), '    \"\"\"Handles 10 items.\"\"\"', chr(10)) AS text
         FROM {{part}}""",
+    # Forty packages: what their documentation says, their code (half of them lack what is documented), their tests.
+    "package_docs": """
+        SELECT concat('pkg', CAST(p_partkey % 40 AS STRING)) AS repo_id, p_partkey AS claim_id,
+               CASE WHEN p_partkey % 7 = 3 THEN concat('Supports ', p_name, ' exports')
+                    ELSE concat('Returns the ', p_name, ' value') END AS text
+        FROM {part}""",
+    "package_code": f"""
+        SELECT concat('pkg', CAST(p_partkey % 40 AS STRING)) AS repo_id, concat('src/m', {_KEY}, '.py') AS path,
+               concat('def ', CASE WHEN p_partkey % 40 < 20 THEN substr(p_name, 1, position(' ' IN p_name) - 1)
+                                   ELSE concat('other_', {_KEY}) END, '(a):', chr(10), '    return a') AS text
+        FROM {{part}}""",
+    "package_tests": f"""
+        SELECT concat('pkg', CAST(p_partkey % 40 AS STRING)) AS repo_id, p_partkey AS run_id, 1 AS run_part,
+               'python' AS language, 'pytest' AS framework,
+               concat('=== ', {_SIZE}, ' passed', CASE WHEN p_partkey % 40 % 4 = 0 THEN ', 2 failed' ELSE '' END,
+                      ' in 0.5s ===') AS stdout
+        FROM {{part}}""",
     # Names of all kinds of indicator files, one per part.
     "project_files": f"""
         SELECT {_PART_REPO} AS repo_id,

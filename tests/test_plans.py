@@ -6,7 +6,7 @@ import json
 import uuid
 
 import pytest
-from conftest import PYTHON_MAIN, README
+from samples import PYTHON_MAIN, README
 from pyspark.sql import functions as F
 
 from auditframe.functions import classify

@@ -41,7 +41,7 @@ def test_follows_the_verdicts(spark, connection, name):
     if name == "p15_gate_status":
         # The query has a row for each repository with files; the claims' other repositories are not its business.
         expected = {r[0]: r[1] for r in connection.sql(EXPECTED[name]).fetchall()}
-        assert {r.repo_id: r.failed_claims for r in df.collect()} == {r.repo_id: expected.get(r.repo_id) for r in df.collect()}
+        assert {r.repo_id: r.failed_claims for r in df.collect()} == {r.repo_id: expected.get(r.repo_id, 0) for r in df.collect()}
         return
     assert difference(df, connection, EXPECTED[name]) is None
 
@@ -51,3 +51,12 @@ def test_some_claims_are_backed_by_code(connection):
     kinds = "('feature', 'behavior')"
     backed = f"SELECT count_if(related > 0) FROM ({VERDICTS}) WHERE claim_type IN {kinds}"
     assert connection.sql(backed).fetchall()[0][0] > 0
+
+
+def test_every_gate_status_occurs(spark):
+    """Packages with failed tests, with claims that no code backs, and with neither."""
+    rows = queries()["p15_gate_of_packages"](spark, FOLDER).collect()
+    by_status = {status: [r for r in rows if r.gate_status == status] for status in (0, 1, 2)}
+    assert all(by_status.values())
+    assert all(r.failed_tests == 0 and r.failed_claims > 0 for r in by_status[2])
+    assert all(r.failed_tests == 0 == r.failed_claims for r in by_status[0])
