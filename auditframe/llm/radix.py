@@ -11,7 +11,7 @@ from auditframe.llm.common import named, unwrapped, wrapped
 from auditframe.session import discard, stage
 
 #: Bytes of the first split; each further one looks at GROWTH times as many of the bytes that follow.
-FIRST, GROWTH = 32, 8
+FIRST, GROWTH = 32, 64
 
 
 def groups_of_equals(
@@ -20,14 +20,13 @@ def groups_of_equals(
 ) -> DataFrame:
     """The columns ``carry`` (default: all) with ``keep_id``, ``group_size`` and ``kept``, for every row.
 
-    Documents are split by their first bytes, each group by the bytes that follow, and so on, until a group has
-    one member or its texts have ended. Members of a group that ended agree in every byte, so no digest takes
-    part. Documents leave as their groups settle; the table of the others is written between two splits, the one
+    Documents are split by their length and first bytes, each group by the bytes that follow, and so on, until a
+    group has one member or its texts have ended. Members of a group that ended agree in every byte, so no digest
+    takes part. Texts of equal length and beginning are nearly always copies, so after the first split hardly any but these move. Documents leave as their groups settle; the table of the others is written between two splits, the one
     before it deleted, and shrinks, while the stretch of bytes looked at grows, so there are few splits even for very long texts.
 
     Groups are counted with partial sums before the shuffle. Those of several members are written, so that rows
-    learn their group by a join of two scans: Spark broadcasts groups only if they are few, and else splits hot
-    keys. A group with a third of all rows is neither collected nor sorted in one task.
+    learn their group by a join of two scans, whose hot keys Spark splits. A group with a third of all rows is neither collected nor sorted in one task.
 
     Of equal texts the row with the largest id stays, a null id being the smallest; of several rows with that id
     one stays. Null texts count as empty. An empty table gives an empty table. Input columns named like the
@@ -37,7 +36,7 @@ def groups_of_equals(
     held = list(dict.fromkeys([*names, text_column]))
     rows = wrapped(docs.select(*[named(c) for c in dict.fromkeys([*held, id_column])]))
     text = F.coalesce(F.col("row").getField(text_column).cast("string"), F.lit("")).cast("binary")
-    active = rows.select("row", F.col("row").getField(id_column).cast("long").alias("id"), F.lit(0).cast("long").alias("group"))
+    active = rows.select("row", F.col("row").getField(id_column).cast("long").alias("id"), F.octet_length(text).cast("long").alias("group"))
     start, width, done, last = 0, first, [], None
     while True:
         piece = F.substring(text, start + 1, width)
@@ -47,7 +46,8 @@ def groups_of_equals(
             members[1] = F.max(F.struct("id", (-F.col("number")).alias("back"))).alias("best")
         groups = keyed.groupBy("group", "piece").agg(*members).filter("members > 1")
         groups = stage(groups.withColumn("next", F.monotonically_increasing_id()), f"radix-groups-{start}")
-        joined = keyed.join(groups, ["group", "piece"], "left").withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+        # Merged at every size: the plan, and what it moves, follow the input alone.
+        joined = keyed.join(groups.hint("merge"), ["group", "piece"], "left").withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
         # Rows get their numbers when the first split is written, so only single members can leave before.
         over = F.length("piece") < width if done else F.lit(False)
         settled = (F.col("members") == 1) | over
