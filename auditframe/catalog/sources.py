@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditframe.catalog.registry import query, sql_lines, sql_strip
 from auditframe.functions.fixed_values import EXCLUDED_PARTS, SOURCE_SUFFIXES
 from auditframe.operators.findings import union_all
 from auditframe.sources import files, logs, reports
+from auditframe.session import checkpoint_folder
 from auditframe.sources.bindings import Bindings
 
 
@@ -66,6 +69,24 @@ def commit_log(b: Bindings):
     return commits.select("event_id", "hash", F.unix_seconds("ts").alias("epoch"), "author", "email", "subject")
 
 
+@query(
+    "s3_commit_log_files",
+    r"""
+    SELECT m.hash AS hash, CAST(m.epoch AS BIGINT) AS epoch, m.author AS author, m.email AS email, m.subject AS subject
+    FROM (SELECT regexp_extract(line, '^([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$',
+                                ['hash', 'epoch', 'author', 'email', 'subject']) AS m
+          FROM commit_log_lines
+          WHERE regexp_matches(line, '^([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$'))""",
+    ("commit_log_lines",),
+)
+def commit_log_files(b: Bindings):
+    """The same log written as text files and read again by blocks."""
+    folder = f"{checkpoint_folder(b.spark).rstrip('/')}/commit-log-{uuid.uuid4().hex}"
+    b.commit_log_lines.select("line").write.text(folder)
+    commits = logs.commit_log(logs.read_lines(b.spark, folder))
+    return commits.select("hash", F.unix_seconds("ts").alias("epoch"), "author", "email", "subject")
+
+
 @query(
     "s4_commit_file_log",
     """

@@ -48,26 +48,118 @@ def rst_sections(b: Bindings):
     return claims.document_units(b.rst_docs).select("path", "line_number", "text", "context")
 
 
-_MARKDOWN_TEXT = r"regexp_replace(regexp_replace(line, '^[ \t]*([-*+]|[0-9]+[.)])[ \t]+', ''), '\*\*|`', '', 'g')"
-
-
-@query(
-    "t3_markdown_sections",
-    rf"""
-    SELECT path, no AS unit_no, {_MARKDOWN_TEXT} AS text, coalesce(section, 'General') AS context
-    FROM (SELECT *, last_value(CASE WHEN heads THEN {sql_strip("regexp_replace(line, '^#+', '')")} END IGNORE NULLS)
-                        OVER (PARTITION BY path ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section
-          FROM (SELECT *, regexp_matches(line, '^#{{1,3}} ') AS heads FROM ({_numbered('markdown_docs', 'path')})))
-    WHERE NOT heads AND NOT regexp_matches(line, '^#{{4,6}} ')
-      AND {sql_strip(_MARKDOWN_TEXT)} <> ''""",
-    ("markdown_docs",),
-)
+_ITEM = r"[ \t]*([-*+]|[0-9]+[.)])[ \t]+"
+_RULE = r"^ {0,3}([-_*][ \t]*){3,}$"
+
+
+def _markdown_sql(view: str) -> str:
+    """Blocks from classes of lines: windows over the lines of each text, where the query cuts texts by patterns."""
+    over = "(PARTITION BY path ORDER BY no)"
+    return rf"""
+    SELECT path, min(no) AS unit_no, string_agg(bare, chr(10) ORDER BY no) AS text, any_value(coalesce(section, 'General')) AS context
+    FROM (
+        SELECT *, sum(CAST(opens AS INT)) OVER {over} AS block,
+               CASE WHEN code THEN line
+                    ELSE regexp_replace(regexp_replace(line, '^({_ITEM}|[ \t]+)', ''), '\*\*|`', '', 'g') END AS bare,
+               last_value(CASE WHEN atx OR title THEN {sql_strip("regexp_replace(line, '^#+|#+$', '', 'g')")} END IGNORE NULLS)
+                   OVER (PARTITION BY path ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section
+        FROM (SELECT *, item OR NOT coalesce(lag(unit) OVER {over}, false) OR code <> lag(code) OVER {over} AS opens FROM (
+            SELECT *, code OR (plain AND NOT blank AND NOT atx AND NOT title AND NOT deep AND NOT underlines
+                               AND NOT rule) AS unit
+            FROM (
+                SELECT *, coalesce(lag(title) OVER {over}, false) AS underlines
+                FROM (
+                    SELECT *, plain AND NOT (blank OR item OR atx OR deep OR rule OR under)
+                              AND coalesce(lead(under) OVER {over}, false) AS title
+                    FROM (
+                        SELECT *, plain AND {sql_strip('line')} = '' AS blank, plain AND regexp_matches(line, '^#{{1,3}} ') AS atx,
+                               plain AND regexp_matches(line, '^#{{4,6}} ') AS deep, plain AND regexp_matches(line, '{_RULE}') AS rule,
+                               plain AND regexp_matches(line, '^{_ITEM}') AND NOT regexp_matches(line, '{_RULE}') AS item,
+                               plain AND regexp_matches(line, '^ {{0,3}}(=+|-+)[ \t]*$') AS under
+                        FROM (
+                            SELECT *, NOT fence AND fences % 2 = 0 AS plain, NOT fence AND fences % 2 = 1 AS code
+                            FROM (
+                                SELECT *, sum(CAST(fence AS INT)) OVER {over} AS fences
+                                FROM (SELECT *, regexp_matches(line, '^ {{0,3}}```[^`]*$') AS fence
+                                      FROM ({_numbered(view, 'path')})))))))))
+        )
+    WHERE unit GROUP BY path, block HAVING {sql_strip("string_agg(bare, chr(10) ORDER BY no)")} <> ''"""
+
+
+@query("t3_markdown_sections", _markdown_sql("markdown_docs"), ("markdown_docs",))
 def markdown_sections(b: Bindings):
     return claims.document_units(b.markdown_docs).select("path", "unit_no", "text", "context")
 
 
-@query("t4_html_sections")
+@query("t3_markdown_blocks", _markdown_sql("guide_docs"), ("guide_docs",))
+def markdown_blocks(b: Bindings):
+    return claims.document_units(b.guide_docs).select("path", "unit_no", "text", "context")
+
+
+_TAG = """</?[a-zA-Z]([^>=]|=\\s*("[^"]*"|''[^'']*'')?)*>"""
+_RAW = r"(?is)<!--.*?(-->|\z)|<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)"
+_HEADING = r"(?is)\A(<h1\b[^>]*>(.*?)</h1>|<h2\b[^>]*>(.*?)</h2>|<h3\b[^>]*>(.*?)</h3>)"
+_SECTION = r"(?i)<h[1-3]\b"
+_VOID = "('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr')"
+
+
+def _cut_before(text: str, pattern: str, mark: int) -> str:
+    """Parts of a text, each but the first opening with a match."""
+    return f"string_split(regexp_replace({text}, '({pattern})', concat(chr({mark}), '\\1'), 'g'), chr({mark}))"
+
+
+def _plain_sql(x: str) -> str:
+    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for entity, code in (("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&nbsp;", 160), ("&amp;", 38)):
+        x = f"replace({x}, '{entity}', chr({code}))"
+    return x
+
+
+#: One tag after another: the names of the open elements, and the text of the unit that is open.
+_HTML_UNITS = rf"""
+    WITH RECURSIVE sections AS MATERIALIZED (
+        SELECT page_id, CAST(unnest(range(len(s))) AS INT) AS section_no, unnest(s) AS section
+        FROM (SELECT page_id, {_cut_before(f"regexp_replace(html, '{_RAW}', '', 'g')", _SECTION, 1)} AS s FROM pages)),
+    parts AS MATERIALIZED (
+        SELECT page_id, section_no, regexp_matches(section, '{_HEADING}') AS headed,
+               {_plain_sql(f"concat(regexp_extract(section, '{_HEADING}', 2), regexp_extract(section, '{_HEADING}', 3), regexp_extract(section, '{_HEADING}', 4))")} AS title,
+               {_cut_before(f"regexp_replace(section, '{_HEADING}', '')", _TAG, 2)} AS pieces
+        FROM sections),
+    tags AS MATERIALIZED (
+        SELECT page_id, section_no, k, lower(regexp_extract(piece, '\A</?([a-zA-Z][^\s/>]*)', 1)) AS name,
+               starts_with(piece, '</') AS ends, ends_with(regexp_extract(piece, '\A{_TAG}'), '/>') AS closed,
+               regexp_replace(piece, '\A{_TAG}', '') AS said
+        FROM (SELECT page_id, section_no, unnest(range(1, len(pieces) + 1)) AS k, unnest(pieces) AS piece FROM parts)),
+    walk AS (
+        SELECT page_id, section_no, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS open, CAST(0 AS BIGINT) AS depth, '' AS text,
+               CAST([] AS VARCHAR[]) AS found FROM parts
+        UNION ALL
+        SELECT page_id, section_no, k, after,
+               CASE WHEN begins THEN len(after) WHEN inside THEN depth ELSE 0 END,
+               CASE WHEN begins THEN said WHEN inside THEN concat(text, said) ELSE '' END,
+               CASE WHEN depth > 0 AND NOT inside THEN list_append(found, text) ELSE found END
+        FROM (
+            SELECT *, depth = 0 AND opens AND name IN ('p', 'li', 'code') AS begins, depth > 0 AND len(after) >= depth AS inside
+            FROM (
+                SELECT *, CASE WHEN ends AND last > 0 THEN list_slice(open, 1, len(open) - last)
+                               WHEN opens THEN list_append(open, name) ELSE open END AS after
+                FROM (SELECT w.page_id, w.section_no, t.k, w.open, w.depth, w.text, w.found, t.name, t.said, t.ends,
+                             coalesce(list_position(list_reverse(w.open), t.name), 0) AS last,
+                             t.name <> '' AND NOT t.ends AND NOT t.closed AND t.name NOT IN {_VOID} AS opens
+                      FROM walk w JOIN tags t ON t.page_id = w.page_id AND t.section_no = w.section_no AND t.k = w.k + 1)))),
+    done AS (
+        SELECT w.page_id, w.section_no, CASE WHEN p.headed THEN p.title ELSE 'General' END AS context,
+               CASE WHEN w.depth > 0 THEN list_append(w.found, w.text) ELSE w.found END AS units
+        FROM walk w JOIN parts p ON p.page_id = w.page_id AND p.section_no = w.section_no WHERE w.k = len(p.pieces))
+    SELECT page_id, section_no, unit_no, text, context
+    FROM (SELECT page_id, section_no, CAST(unnest(range(len(units))) AS INT) AS unit_no, {_plain_sql('unnest(units)')} AS text, context
+          FROM done)
+    WHERE {sql_strip('text')} <> ''"""
+
+
+@query("t4_html_sections", _HTML_UNITS)
 def html_sections(b: Bindings):
+    """Units of every page; scripts, styles and comments hold none."""
     units = b.pages.select("page_id", F.inline(documents.html_units(F.col("html"))))
     return units.select("page_id", "section_no", "unit_no", "text", "context")
 

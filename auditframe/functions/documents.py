@@ -21,7 +21,13 @@ GENERAL = "General"
 # White space within a line, and headings in a text whose lines carry their number ("12:text").
 _GAP = r"[\t\x0b-\r\x1c-\x20\x85\p{Z}]*"
 _RST_HEADING = rf"[0-9]+:[^\n]*\n[0-9]+:{_GAP}[=\-~]+{_GAP}$"
-_MARKDOWN_HEADING = r"[0-9]+:#{1,3} [^\n]*$"
+# Markdown blocks by their first line.
+_FENCE = r" {0,3}```[^`\n]*$"
+_ITEM = r"[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+"
+_RULE = r" {0,3}(?:[-_*][ \t]*){3,}$"
+_UNDERLINE = r" {0,3}(?:=+|-+)[ \t]*$"
+_UNDERLINED = rf"[0-9]+:(?!{_ITEM}|#{{1,6}} |{_RULE}|{_UNDERLINE}|{_GAP}$)[^\n]*\n[0-9]+:{_UNDERLINE}"
+_MARKDOWN_HEADING = rf"(?:[0-9]+:#{{1,3}} [^\n]*$|{_UNDERLINED})"
 _DEFINITION = r"[0-9]+:[ \t]*(?:def|class)[ \t]"
 
 
@@ -57,30 +63,24 @@ def text_units(text: Column) -> Column:
     return F.filter(units, lambda u: ~is_blank(u["text"]))
 
 
-def _sectioned(
-    text: Column,
-    heading: str,
-    title: Callable[[Column], Column],
-    unit_line: Callable[[Column], Column],
-    with_numbers: bool,
-) -> Column:
+def _sectioned(text: Column) -> Column:
     numbered = _numbered(text)
-    sections = F.split(numbered, f"(?dm)(?=^{heading})")
+    sections = F.split(numbered, f"(?dm)(?=^{_RST_HEADING})")
     # Only the first section can lack a heading.
-    opens_headed = numbered.rlike(f"(?dm)\\A{heading}")
+    opens_headed = numbered.rlike(f"(?dm)\\A{_RST_HEADING}")
 
     def units(section: Column, section_no: Column) -> Column:
         headed = (section_no > 0) | opens_headed
         rows = F.filter(lines(section), lambda row: row != "")
-        context = F.when(headed, title(_line_text(F.element_at(rows, 1)))).otherwise(GENERAL)
+        context = F.when(headed, strip(_line_text(F.element_at(rows, 1)))).otherwise(GENERAL)
         body = F.when(headed, F.slice(rows, F.lit(2), F.size(rows))).otherwise(rows)
         return F.transform(
-            F.filter(body, lambda row: ~is_blank(unit_line(_line_text(row)))),
+            F.filter(body, lambda row: ~is_blank(_line_text(row))),
             lambda row: F.struct(
                 section_no.alias("section_no"),
                 _line_no(row).alias("unit_no"),
-                (_line_no(row) if with_numbers else F.lit(0)).alias("line_number"),
-                unit_line(_line_text(row)).alias("text"),
+                _line_no(row).alias("line_number"),
+                _line_text(row).alias("text"),
                 context.alias("context"),
             ),
         )
@@ -90,23 +90,63 @@ def _sectioned(
 
 def rst_units(text: Column) -> Column:
     """Lines under the latest heading, a line that the next one underlines. Underlines are text too."""
-    return _sectioned(text, _RST_HEADING, strip, lambda line: line, with_numbers=True)
+    return _sectioned(text)
 
 
-def _markdown_text(line: Column) -> Column:
-    """A line without list markers, bold marks and back-ticks; deeper headings are not scanned."""
-    bare = F.regexp_replace(line, r"^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+", "")
-    bare = F.regexp_replace(bare, r"\*\*|`", "")
-    return F.when(line.rlike("^#{4,6} "), "").otherwise(bare)
+def _fenced_apart(text: Column) -> Column:
+    """The numbered lines of a Markdown text, those of fenced code as "12;text"; fences become empty lines.
+
+    What is code follows from how many fences come before; one that stays open reaches to the end.
+    """
+    numbered = _numbered(text)
+    marked = F.transform(
+        F.split(numbered, f"(?dm)^[0-9]+:{_FENCE}"),
+        lambda piece, i: F.when(i % 2 == 0, piece).otherwise(F.regexp_replace(piece, "(?dm)^([0-9]+):", "$1;")),
+    )
+    return F.when(text.contains("```"), F.array_join(marked, "")).otherwise(numbered)
 
 
 def markdown_units(text: Column) -> Column:
-    """Lines under the latest heading of level 1 to 3; line numbers are not kept."""
+    """Paragraphs, list items and fenced code under the latest heading of level 1 to 3; line numbers are not kept.
+
+    A block is one unit however many lines it wraps over; ``unit_no`` is its first line. Blank lines, headings,
+    fences, rules and list items end a block; an item nested in another is a unit of its own and counts once.
+    A line that the next one underlines with ``=`` or ``-`` is a heading. Lists need no blank line before them.
+    Deeper headings and rules are no text; list markers, bold marks and back-ticks are left out but for code, whose
+    lines stay as they are.
+    """
+    sections = F.split(_fenced_apart(text), f"(?dm)(?=^{_MARKDOWN_HEADING})")
+    heading = f"(?dm)\\A{_MARKDOWN_HEADING}"
 
-    def title(line: Column) -> Column:
-        return strip(F.regexp_replace(line, "^#+|#+$", ""))
+    def line_text(row: Column) -> Column:
+        bare = F.regexp_replace(row, rf"\A[0-9]+:(?:{_ITEM}|[ \t]+)?", "")
+        return F.when(row.rlike(r"\A[0-9]+;"), F.regexp_replace(row, r"\A[0-9]+;", "")).otherwise(
+            F.regexp_replace(bare, r"\*\*|`", "")
+        )
 
-    return _sectioned(text, _MARKDOWN_HEADING, title, _markdown_text, with_numbers=False)
+    def units(section: Column, section_no: Column) -> Column:
+        title = F.regexp_replace(_line_text(F.substring_index(section, "\n", 1)), "^#+|#+$", "")
+        context = F.when(section.rlike(heading), strip(title)).otherwise(GENERAL)
+        chunks = F.split(F.regexp_replace(section, heading, ""), f"(?dm)^(?:[0-9]+:{_GAP})?$")
+        starts = f"(?dm)(?=^[0-9]+:(?:{_ITEM}|#{{4,6}} |{_RULE}))"
+        blocks = F.flatten(F.transform(chunks, lambda chunk: F.split(chunk, starts)))
+
+        def rows(block: Column) -> Column:
+            return F.filter(lines(block), lambda row: (row != "") & ~row.rlike(f"\\A[0-9]+:(?:#{{4,6}} |{_RULE})"))
+
+        def unit(held: Column) -> Column:
+            return F.struct(
+                section_no.alias("section_no"),
+                F.regexp_extract(F.element_at(held, 1), r"\A[0-9]+", 0).cast("int").alias("unit_no"),
+                F.lit(0).alias("line_number"),
+                F.array_join(F.transform(held, line_text), "\n").alias("text"),
+                context.alias("context"),
+            )
+
+        held = F.filter(F.transform(blocks, rows), lambda r: F.size(r) > 0)
+        return F.filter(F.transform(held, unit), lambda u: ~is_blank(u["text"]))
+
+    return F.flatten(F.transform(sections, units))
 
 
 def _plain(html: Column) -> Column:
@@ -122,7 +162,11 @@ def _plain(html: Column) -> Column:
 # Elements without an end tag, and those whose texts are units.
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 _UNIT_ELEMENTS = ("p", "li", "code")
-_TAG = r"</?[a-zA-Z][^>]*>"
+# A tag ends at the first ">" that is not inside a quoted attribute value.
+_TAG = r"""</?[a-zA-Z](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+# Comments, and elements whose content is no text; one that stays open reaches to the end. The first to begin holds
+# what looks like the other.
+_RAW = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 
 
 def _html_elements(html: Column) -> Column:
@@ -131,13 +175,14 @@ def _html_elements(html: Column) -> Column:
     One pass over the tags keeps the names of the open elements. An end tag closes the last element of its
     name and all within; without such an element it counts for nothing. Elements that stay open end with the HTML.
     """
-    # Each piece but the first begins with a tag.
+    # Each piece but the first begins with a tag. Marks go before whole tags, so that none is seen inside another's values.
+    marked = F.regexp_replace(F.replace(html, F.lit("\x01"), F.lit("")), f"({_TAG})", "\x01$1")
     pieces = F.transform(
-        F.split(html, f"(?={_TAG})"),
+        F.split(marked, "\x01"),
         lambda piece: F.struct(
             F.lower(F.regexp_extract(piece, r"\A</?([a-zA-Z][^\s/>]*)", 1)).alias("name"),
             piece.startswith("</").alias("ends"),
-            piece.rlike(r"\A<[^>]*/>").alias("closed"),
+            F.regexp_extract(piece, rf"\A{_TAG}", 0).endswith("/>").alias("closed"),
             F.regexp_replace(piece, rf"\A{_TAG}", "").alias("text"),
         ),
     )
@@ -182,7 +227,11 @@ def _html_elements(html: Column) -> Column:
 
 
 def html_units(html: Column) -> Column:
-    """Text of paragraphs, list items and code under the latest heading; nested elements count once."""
+    """Text of paragraphs, list items and code under the latest heading; nested elements count once.
+
+    Scripts, styles and comments are taken out first, so what they hold opens, closes and says nothing.
+    """
+    html = F.regexp_replace(html, _RAW, "")
     heading = r"(?is)\A<(h[1-3])\b[^>]*>(.*?)</\1>"
     sections = F.split(html, r"(?i)(?=<h[1-3]\b)")
 

@@ -237,6 +237,18 @@ VIEWS |= {
                       '```python', chr(10), 'x = ', replace(p_name, ' ', '_'), '(', {_SIZE}, ')', chr(10),
                       'obj.step(1)', chr(10), '```', chr(10), '#### Deep', chr(10), 'Must never fail.') AS text
         FROM {{part}}""",
+    # Wrapped paragraphs, underlined headings, nested lists, rules, and code that looks like Markdown.
+    "guide_docs": f"""
+        SELECT {_PART_REPO} AS repo_id, concat('docs/guide', {_KEY}, '.md') AS path,
+               concat('Guide to ', p_name, chr(10), CASE WHEN p_size % 3 = 0 THEN '=====' ELSE '-----' END, chr(10),
+                      'It provides', chr(10), '  **', p_type, '** that must', chr(10), 'always work.', chr(10),
+                      '- outer ', p_name, chr(10), '  wrapped', chr(10), '  - nested item', chr(10), '    goes on', chr(10),
+                      CASE WHEN p_size % 2 = 0 THEN '```sh' ELSE '' END, chr(10), '# no heading in code', chr(10), chr(10),
+                      '- never fails: ', {_SIZE}, chr(10), CASE WHEN p_size % 5 = 0 THEN '' ELSE '```' END, chr(10),
+                      'After it', chr(10), '***', chr(10), '## Part ', {_KEY}, ' ##', chr(10), '1. one', chr(10), '2) two', chr(10),
+                      '---', chr(10), '#### Deep', chr(10), 'It can `', p_brand, '`', chr(10), '   ', chr(10), '===', chr(10),
+                      'The end', chr(10), 'is', chr(10), '--') AS text
+        FROM {{part}}""",
     "rst_docs": f"""
         SELECT {_PART_REPO} AS repo_id, concat('docs/g', {_KEY}, '.rst') AS path,
                concat('Intro ', p_name, chr(10), 'Title ', p_type, chr(10), '=====', chr(10), chr(10), 'Provides ', {_SIZE},

@@ -1,13 +1,13 @@
 """Text logs as tables.
 
 A log that fits a cell is taken apart inside its row, by patterns over the whole text or over the array
-of its lines: no shuffle, and a lost task repeats only its own rows. Logs given as lines are joined and
-filled by blocks of lines.
+of its lines: no shuffle, and a lost task repeats only its own rows. Logs given as files are read by blocks, and
+logs given as lines are joined and filled by blocks of lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions import fixed_values as fixed
@@ -18,11 +18,30 @@ from auditframe.operators.grouping import By, forward_fill
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(log_id, line_no, line)`` of text logs, one log per file."""
-    texts = spark.read.format("text").option("wholetext", True).load(path)
-    return texts.select(
-        F.col("_metadata.file_path").alias("log_id"), F.posexplode(lines(F.col("value"))).alias("line_no", "line")
+    """``(log_id, line_no, line)`` of text logs, one log per file, lines numbered from 0.
+
+    Files are read in blocks by many tasks, a line that crosses a border by the task that it begins in. Each task
+    counts its lines; sums over the blocks before give the number of a block's first line, so only one row per
+    block is shuffled and a log of any size has its lines numbered as if it were read in one go. Lines end at line feeds
+    alone; a log that ends with one has an empty last line. An empty log has no lines.
+    """
+    texts = spark.read.format("text").option("lineSep", "\n").load(path)
+    block = {"log_id": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start")}
+    # Rows of a block follow one another; two scans of the same files deal them out alike.
+    rows = texts.select(*[c.alias(name) for name, c in block.items()], F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    blocks = rows.groupBy("log_id", "start").agg(
+        F.min("at").alias("first"), F.count("*").alias("lines"), F.sum(F.octet_length("line") + 1).alias("bytes")
     )
+    earlier = Window.partitionBy("log_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    places = blocks.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("first"))
+    numbered = rows.join(places.select("log_id", "start", "before"), ["log_id", "start"])
+    numbered = numbered.select("log_id", (F.col("before") + F.col("at")).alias("line_no"), "line")
+    totals = blocks.groupBy("log_id").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+    sizes = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("log_id"), "length")
+    # Counted with a line feed each, lines add up to the file's length, or to one more where the last has none. Three
+    # bytes are missing where the reader has dropped a byte order mark.
+    ended = sizes.join(totals, "log_id", "left").fillna(0, ["lines", "bytes"]).filter((F.col("bytes") - F.col("length")) % 3 == 0)
+    return numbered.unionByName(ended.select("log_id", F.col("lines").alias("line_no"), F.lit("").alias("line")))
 
 
 def commit_log(logs: DataFrame, line: str = "line") -> DataFrame:
@@ -34,11 +53,11 @@ def commit_log(logs: DataFrame, line: str = "line") -> DataFrame:
     kept = [c for c in logs.columns if c != line]
     return logs.select(*kept, parts.alias("p")).filter(F.size("p") >= 5).select(
         *kept,
-        F.col("p")[0].alias("hash"),
-        F.timestamp_seconds(F.col("p")[1].try_cast("bigint")).alias("ts"),
-        F.col("p")[2].alias("author"),
-        F.col("p")[3].alias("email"),
-        F.col("p")[4].alias("subject"),
+        F.get("p", F.lit(0)).alias("hash"),
+        F.timestamp_seconds(F.get("p", F.lit(1)).try_cast("bigint")).alias("ts"),
+        F.get("p", F.lit(2)).alias("author"),
+        F.get("p", F.lit(3)).alias("email"),
+        F.get("p", F.lit(4)).alias("subject"),
     )
 
 
