@@ -60,8 +60,7 @@ def field_sections(df: DataFrame, fields: Sequence[str], id_column: str, separat
 
 @lru_cache(maxsize=2)
 def _token_bytes(path: str) -> np.ndarray:
-    encoding = tokenizer(path)
-    return np.array([len(encoding.decode_single_token_bytes(i)) for i in range(encoding.n_vocab)], np.int64)
+    return np.array(tokenizer(path).token_bytes(), np.int64)
 
 
 def spread(ends: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) -> np.ndarray:
@@ -102,7 +101,7 @@ def attribute(sectioned: DataFrame, path: str | None = None, rule: str = "first"
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sizes = tokenizer(path).encode_ordinary, _token_bytes(path)
+        encode, sizes = tokenizer(path).ids, _token_bytes(path)
         columns: list[list] = [[] for _ in names]
 
         def flush() -> pa.RecordBatch:

@@ -134,7 +134,7 @@ def windows(
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(path).ids
         names = ["conv_id", "window", "first_turn", "repeated", "text", "loss", "tokens"]
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), spans, pa.int64()]

@@ -180,7 +180,7 @@ def token_pieces(
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(path).ids
         columns: tuple[list, ...] = ([], [], [], [], [])
         held = 0
 

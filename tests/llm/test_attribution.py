@@ -11,8 +11,9 @@ from auditframe.llm.queries import op1_token_attribution
 def by_hand(text: str, sections: list[tuple[int, int]], rule: str) -> list[float]:
     encoding = tokenizer(default_tokenizer())
     raw, at, spans = text.encode(), 0, []
-    for token in encoding.encode_ordinary(text):
-        n = len(encoding.decode_single_token_bytes(token))
+    sizes = encoding.token_bytes()
+    for token in encoding.ids(text):
+        n = sizes[token]
         spans.append((at, at + n))
         at += n
     assert at == len(raw)

@@ -52,7 +52,7 @@ SCHEMA = "conv_id long, turn long, role string, text string"
 
 
 def test_windows(spark):
-    encode = tokenizer(default_tokenizer()).encode_ordinary
+    encode = tokenizer(default_tokenizer()).ids
     turns = [(1, 0, "system", "Be kind.")] + [(1, i, "user" if i % 2 else "assistant", f"turn {i} " + "word " * (i * 7 % 40)) for i in range(1, 30)]
     turns.append((1, 30, "user", "huge " * 300))
     turns.append((1, 31, "assistant", "ok"))

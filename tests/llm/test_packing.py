@@ -82,7 +82,7 @@ def test_wrong_length_is_an_error(spark):
 
 def test_query_and_sequences(spark, folder):
     rows = op2_best_fit_packing(spark, folder).toPandas()
-    encode = tokenizer(default_tokenizer()).encode_ordinary
+    encode = tokenizer(default_tokenizer()).ids
     total = 0
     found = {(r.doc_id, r.piece): r for r in rows.itertuples()}
     for doc in spark.read.parquet(f"{folder}/documents.parquet").collect():
@@ -111,15 +111,40 @@ def test_whole_sequences(spark, documents):
 
 
 def test_same_ids_as_the_published_tokenizer():
+    """The plain call: special tokens in a text are read as such, none is added."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
-    encode = tokenizer(default_tokenizer()).encode_ordinary
+    encode = tokenizer(default_tokenizer()).ids
     step = 97
     for low in range(0, 0x20000, step):
         text = "".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)} .{chr(c)}." for c in range(low, low + step) if not 0xD800 <= c < 0xE000)
         assert other.encode(text, add_special_tokens=False).ids == encode(text)
-    for text in ("<|endoftext|>", "  x  \n\n y", "don't I'LL", "\x1c\x85  a"):
+    for text in ("<|endoftext|>", "a<|endoftext|>\n\n<|endoftext|>  b<|endoftext", "  x  \n\n y", "don't I'LL", "\x1c\x85  a"):
         assert other.encode(text, add_special_tokens=False).ids == encode(text)
+    assert encode("hello <|endoftext|> x") == [31373, 220, 50256, 2124]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "a" * 2_000_000, "word " * 60_000 + "<|endoftext|>"])
+def test_very_long_runs(text):
+    """A run of a million blanks once ended the process."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokenizer(default_tokenizer()).ids(text) == other.encode(text, add_special_tokens=False).ids
+
+
+def test_both_encoders_agree_around_the_bound():
+    encoder = tokenizer(default_tokenizer())
+    for tail in ("", " ", "x", "é", "\n\n", "<|endoftext|>"):
+        text = ("Some words, 12 more;  and\tblanks " * 7_000)[: encoder.LONG - len(tail) - 1] + tail
+        assert encoder.ids(text) == encoder.published.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_of_blanks_are_packed(spark, documents):
+    rows = [(1, " " * 1_000_000, "en", "a"), (2, "\n" * 1_000_000, "en", "a"), (3, "x", "en", "a")]
+    found = packing.packed_documents(documents(rows)).groupBy("doc_id").sum("length").collect()
+    encode = tokenizer(default_tokenizer()).ids
+    assert {r[0]: r[1] for r in found} == {i: len(encode(text)) + 1 for i, text, *_ in rows}
