@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditframe.llm.common import named
+from auditframe.llm.set_join import by_component, classes_of, connected, labelled, labels_of, links_by_lists, whole_sets
+from auditframe.llm.sets import MIX, ODD, WordHashes, common, mixed, shingles
 from auditframe.session import discard, stage
 
 #: Minima per document, in bands of ROWS; a pair of similarity 0.8 shares no band once in 20 million times.
@@ -23,45 +24,8 @@ WORDS, SIMILARITY = 5, 80
 AGREEING = 70
 #: Shingles hashed at once, which bounds a task's memory for very long texts.
 CHUNK = 1024
-#: Rounds in which one member of each bucket is compared with the others, before the rest is paired.
-STAR_ROUNDS = 2
-
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-_MIX2 = np.uint64(0x94D049BB133111EB)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """64 bits spread evenly over all 64."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, kept for words met before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingles(text: str | None, words: int, known: WordHashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text; with fewer words than a shingle has, the sequence as one.
-
-    Lower-casing and splitting bytes touch only the letters A-Z and the six ASCII white-space characters.
-    """
-    found = (text or "").encode().lower().split()
-    n = min(words, len(found))
-    if not n:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    whole = np.full(len(hashes) - n + 1, n, np.uint64)
-    for i in range(n):
-        whole = mixed(whole * _ODD + hashes[i : len(hashes) - n + 1 + i])
-    return np.unique(whole)
+#: Rounds in which one member of each bucket is compared with the others, before one with leaders of lists.
+STAR_ROUNDS = 1
 
 
 def coefficients(count: int, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +46,7 @@ def signature(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """From (id, text): id, n, set_hi, set_lo (128 bits that stand for the set), signature, band_keys.
+    """From (id, text_key, text): id, text_key, n, set_hi, set_lo (128 bits that stand for the set), signature, band_keys.
 
     The set's 128 bits are two sums of independently mixed shingle hashes; equal sets have equal sums. The
     signature holds the low byte of every minimum.
@@ -94,11 +58,11 @@ def features(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             counts, hi, lo, signatures, keys = [], [], [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 found = shingles(x.as_py(), words, known)
                 counts.append(len(found))
-                hi.append(int(mixed(found ^ _MIX).sum(dtype=np.uint64).astype(np.int64)))
-                lo.append(int(mixed(found ^ _ODD).sum(dtype=np.uint64).astype(np.int64)))
+                hi.append(int(mixed(found ^ MIX).sum(dtype=np.uint64).astype(np.int64)))
+                lo.append(int(mixed(found ^ ODD).sum(dtype=np.uint64).astype(np.int64)))
                 if not len(found):
                     signatures.append(b"")
                     keys.append(np.zeros(0, np.int64))
@@ -107,27 +71,15 @@ def features(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
                 signatures.append(minima.astype(np.uint8).tobytes())
                 key = salt
                 for column in minima.reshape(bands, rows).T:
-                    key = mixed(key * _ODD + column.astype(np.uint64))
+                    key = mixed(key * ODD + column.astype(np.uint64))
                 keys.append(key.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
                  pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n", "set_hi", "set_lo", "signature", "band_keys"],
+                ["id", "text_key", "n", "set_hi", "set_lo", "signature", "band_keys"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, set_hi long, set_lo long, signature binary, band_keys array<long>")
-
-
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, text) to (id, shingles): the whole sorted set as 64-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            sets = [shingles(x.as_py(), words, known).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
-
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, "id long, text_key long, n long, set_hi long, set_lo long, signature binary, band_keys array<long>")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -139,99 +91,18 @@ def agreeing(one: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series((a == b).sum(axis=1).astype(np.int32))
 
 
-@F.pandas_udf(T.LongType())
-def common(one: pd.Series, other: pd.Series) -> pd.Series:
-    """The size of the intersection of two sorted sets."""
-    out = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(one, other, strict=True)]
-    return pd.Series(out, dtype="int64")
-
-
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are as similar as asked: by size and signature first, then by the sets."""
-    one = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    other = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
+    one = nodes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
+    other = nodes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
     sized = pairs.join(one, "a").join(other, "b").filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
     likely = sized.withColumn("agree", agreeing("s_a", "s_b")).filter(F.col("agree") >= AGREEING).select("a", "b", "n_a", "n_b")
-    first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    first = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
+    second = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
     both = likely.join(first, "a").join(second, "b").withColumn("common", common("x", "y"))
     return both.filter(100 * F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def tokens(members: DataFrame) -> DataFrame:
-    """(id, component, shingles) to one row per shingle: id, component, n, shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, component, raw in zip(*(batch.column(i) for i in range(3)), strict=True):
-                found = np.frombuffer(raw.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), x), pa.int64()) for x in (node.as_py(), component.as_py(), len(found))] + [pa.array(found)],
-                    ["id", "component", "n", "shingle"],
-                )
-
-    return members.select("id", "component", "shingles").mapInArrow(run, "id long, component long, n long, shingle long")
-
-
-def alike_beyond_components(members: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y) of different components among which is every pair of sets that are similar enough.
-
-    Also the staged table that they are made from, to be discarded after them.
-
-    All shingles have one order: first those found in one component only, then the rarer before the more frequent.
-    Two sets of that similarity share one of their first n - ceil(similarity * n) + 1 shingles. Only these are
-    joined, and of them only those found in several components. Members of a family that are less alike than
-    asked differ in shingles of their own, which come first, so such families make few pairs.
-    """
-    each = stage(tokens(members.join(sets, "id")), "tokens")
-    across = each.groupBy("shingle").agg(F.count("*").alias("frequency"), (F.min("component") != F.max("component")).alias("across"))
-    met = each.join(across.filter("across"), "shingle").groupBy("id", "component", "n").agg(
-        F.sort_array(F.collect_list(F.struct("frequency", "shingle"))).alias("met")
-    )
-    # Of the first shingles those come before `met` that are found in one component only.
-    first = F.expr(f"n - (n * {similarity} + 99) div 100 + 1 - (n - size(met))").cast("int")
-    heads = met.filter(first > 0).select("id", "component", "n", F.posexplode(F.slice("met", F.lit(1), first)), F.size("met").alias("open"))
-    place = F.col("n") - F.col("open") + F.col("pos")
-    heads = stage(heads.select("id", "component", "n", place.alias("place"), "col.shingle"), "heads")
-    discard(each)
-    one = heads.toDF("x", "of_x", "n_x", "place_x", "shingle")
-    other = heads.toDF("y", "of_y", "n_y", "place_y", "shingle")
-    # From the first shingle that two sets share on, no more can be shared than either has left.
-    most = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    enough = (100 + similarity) * most >= similarity * (F.col("n_x") + F.col("n_y"))
-    return one.join(other, "shingle").filter((F.col("of_x") < F.col("of_y")) & enough), heads
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, component) of every node on an edge (a, b): the smallest node it is connected with.
-
-    Alternating large-star and small-star: every node ties its larger neighbours, then itself and its smaller
-    ones, to the smallest node it knows of, until nothing changes. Minima are found with partial aggregates,
-    written, and handed out by joins of two scans, whose hot keys Spark splits, so a node of any degree is no hot
-    task; each round is written, which cuts its lineage.
-    """
-    current = stage(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct(), name)
-    before = None
-    while True:
-        mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
-        # Large-star: m is the least of u and its neighbours; each neighbour above u is tied to m.
-        around = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
-        large = around.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
-        # Small-star: of a node's smaller neighbours the least takes the node and the others.
-        large = stage(large, f"{name}-large")
-        low = stage(large.groupBy("v").agg(F.min("u").alias("m")), f"{name}-low")
-        small = large.join(low, "v").select(F.explode(F.array(F.struct("m", F.col("u").alias("w")), F.struct("m", F.col("v").alias("w")))).alias("e"))
-        tied = stage(small.select(F.col("e.m").alias("u"), F.col("e.w").alias("v")).filter("u < v").distinct(), name)
-        discard(current, least, large, low)
-        current = tied
-    roots = current.select(F.col("u").alias("id")).distinct().withColumn("component", F.col("id"))
-    return current.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(roots)
-
-
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, text_column: str = "text", id_column: str = "doc_id"
 ) -> DataFrame:
@@ -242,77 +113,62 @@ def near_duplicates(
     MinHash signatures; a link counts only after the whole sets were compared. No link between documents of a
     bucket is lost, though not all pairs are made:
 
-    1. Documents of equal sets form one class, of which the smallest id goes on.
+    1. Documents of equal sets form one class, which goes on as one node.
     2. In every bucket of at least two, one member is compared with the others; confirmed links make components.
        Repeated with other members, this joins most of what belongs together at a cost in line with the buckets.
-    3. Among the members of buckets that still hold several components, pairs of different components are found
-       by their rarest shingles, which no pair that is similar enough escapes. Nothing is capped.
+    3. The members of buckets that still hold several components enter lists of their rarest shingles, which no
+       pair that is similar enough escapes; leaders of the lists, then the pairs that places, sizes and sketches do not
+       exclude are compared (``set_join.links_by_lists``). Nothing is capped.
 
     Letters A-Z count as a-z; words are divided by ASCII white space. A text with fewer words than a shingle has
     one shingle, its whole sequence; without words or text it has none, is linked with nothing and kept. Rows of
-    equal id count as one document with the links of all its texts. A row without an id is linked with nothing
-    and kept; its component is null. Other columns are left out. An empty table gives an empty table.
+    equal id count as one document with the links of all its texts, in whatever order they come. A row without an id is
+    linked with nothing and kept; its component is null. Other columns are left out. An empty table gives an empty table.
     """
-    rows = docs.select(named(id_column).cast("long").alias("id"), named(text_column).cast("string").alias("text"))
+    text = named(text_column).cast("string")
+    rows = docs.select(named(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     seen = stage(features(rows, words), "features")
-    linkable = seen.filter("n > 0 and id is not null")
     same = ["set_hi", "set_lo", "n"]
-    # What rows are joined with is written before: Spark splits the hot keys of a join of two scans, but not of one
+    linkable = seen.filter("n > 0 and id is not null")
+    classes, members, links = classes_of(linkable, "minhash")
+    reps = linkable.join(classes.select("class", "id", "text_key", *same), ["id", "text_key", *same]).dropDuplicates(["class"])
+    reps = reps.select("class", "n", "signature", "band_keys")
+    # What entries are joined with is written before: Spark splits the hot keys of a join of two scans, but not of one
     # whose other side an aggregate has just made by the same key.
-    classes = linkable.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("members"))
-    classes = stage(classes.filter("members > 1").drop("members"), "classes")
-    slim = linkable.select("id", *same).join(classes, same, "left")
-    members = stage(slim.select("id", "set_hi", "set_lo", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    chosen = linkable.join(members.filter("id = rep").select("id", *same), ["id", *same], "left_semi")
-    reps = chosen.dropDuplicates(["id", *same]).select("id", "n", "signature", "band_keys")
-    entries = stage(reps.select(F.explode("band_keys").alias("key"), "id"), "entries")
+    entries = stage(reps.select(F.explode("band_keys").alias("key"), "class"), "entries")
     full = stage(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "full")
     shared = stage(entries.join(full, "key"), "buckets")
     discard(entries, full)
-    active = shared.select("id").distinct()
-    nodes = stage(reps.join(active, "id", "left_semi").select("id", "n", "signature"), "nodes")
-    sets = stage(full_sets(rows.join(active, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
+    active = shared.select("class").distinct()
+    nodes = stage(reps.join(active, "class", "left_semi").select("class", "n", "signature"), "nodes")
+    texts = rows.join(classes.join(active, "class", "left_semi").select("class", "n", "id", "text_key"), ["id", "text_key"])
+    whole = stage(whole_sets(texts.select("class", "n", "text"), words).dropDuplicates(["class"]), "sets")
     others = seen.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     others = stage(others, "unlinked")
-    discard(seen, classes)
-    tried, labels, spent = [], None, [shared, nodes, sets]
+    discard(seen)
+    tried, labels, spent = None, labels_of(links, "components"), [shared, nodes, whole]
     for round_ in range(STAR_ROUNDS + 1):
-        current = shared.withColumn("component", F.col("id"))
-        if labels is not None:
-            current = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        order = F.xxhash64("id", F.lit(round_)) if round_ else F.col("id")
-        first = F.min(F.struct(order.alias("order"), F.col("id").alias("centre"), F.col("component").alias("of")))
+        current = labelled(shared, labels)
+        first = F.min(F.struct(F.xxhash64("class", F.lit(round_)).alias("order"), F.col("class").alias("centre"), F.col("component").alias("of")))
         spread = F.min("component") != F.max("component")
         open_ = current.groupBy("key").agg(first.alias("first"), spread.alias("open")).filter("open")
         open_ = stage(open_.select("key", "first.centre", "first.of"), f"open-{round_}")
-        if round_ < STAR_ROUNDS:
-            found = current.join(open_, "key").filter("component <> of")
-            ends = "id", "centre"
-        else:
-            left = current.join(open_.select("key"), "key").select("id", "component").distinct()
-            (found, heads), ends = alike_beyond_components(left, sets, similarity), ("x", "y")
-            spent.append(heads)
-        pairs = found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
-        for earlier in tried:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        pairs = stage(pairs, f"pairs-{round_}")
-        spent += [open_, pairs]
-        if pairs.isEmpty():
-            # Other members may still lead to pairs, unless these were all pairs that are left.
-            continue
-        tried.append(pairs)
-        known = stage(confirmed(pairs, nodes, sets, similarity), f"links-{round_}")
-        spent.append(known)
-        if not known.isEmpty():
-            links = known
-            if labels is not None:
-                links = known.unionByName(labels.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
-            labels = components(links, f"components-{round_}")
-    discard(*spent)
-    if labels is None:
-        labels = members.select("id", F.col("id").alias("component")).limit(0)
-    result = members.select("id", "n", "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    linked = result.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    every = linked.unionByName(others)
+        spent.append(open_)
+        if round_ == STAR_ROUNDS:
+            left = current.join(open_.select("key"), "key").select("class").distinct()
+            left = stage(whole.join(left, "class", "left_semi"), "left")
+            labels, more = links_by_lists(left, links, labels, similarity, rounds=1)
+            spent += [left, *more]
+            break
+        found = current.join(open_, "key").filter("component <> of")
+        pairs = found.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        tried = stage(pairs, f"pairs-{round_}")
+        known = stage(confirmed(tried, nodes, whole, similarity), f"links-{round_}")
+        spent += [tried, known]
+        links, labels = connected(links, labels, known, f"components-{round_}")
+    every = by_component(classes, members, labels, "minhash").unionByName(others)
+    discard(*spent, classes)
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return every.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

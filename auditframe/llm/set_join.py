@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditframe.llm.common import named
-from auditframe.llm.minhash import WordHashes, common, components, mixed, shingles
+from auditframe.llm.sets import WordHashes, common, components, mixed, shingles
 from auditframe.session import discard, stage
 
 #: Words per shingle and the similarity of links, in hundredths.
@@ -226,6 +226,79 @@ def derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
     return both.select("x", "y", "n_x", "n_y", (F.col("n_leader") - lacking + common("plus_x", "plus_y")).cast("long").alias("overlap"))
 
 
+def labels_of(links: DataFrame, name: str) -> DataFrame | None:
+    return None if links.isEmpty() else components(links, name)
+
+
+def connected(links: DataFrame, labels: DataFrame | None, new: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """Links and labels after ``new`` links (written); nothing is done where there are none."""
+    if new.isEmpty():
+        return links, labels
+    links = links.unionByName(new)
+    return links, components(links, name)
+
+
+def links_by_lists(
+    whole: DataFrame, links: DataFrame, labels: DataFrame | None, similarity: int, rounds: int = LEADER_ROUNDS
+) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Labels (id, component) of the classes after all links among ``whole`` were found, and tables to discard.
+
+    ``whole`` has class, n, tokens and the sketch; ``links`` (a, b) and ``labels`` are what is known before. No link
+    between different components of the result exists.
+    """
+    if whole.isEmpty():
+        return labels, []
+    nodes, sets = whole.drop("tokens"), whole.select("class", "n", "tokens")
+    lists = stage(index_lists(sets, similarity), "set-lists")
+    spent, answers = [lists], None
+    for round_ in range(rounds):
+        found = led(lists, labels, nodes, sets, round_)
+        spent.append(found)
+        answers = found if answers is None else answers.unionByName(found)
+        overlap = F.col("n_class") - F.length("plus") / 8
+        new = found.filter(alike(overlap, F.col("n_class"), F.col("n_leader"), similarity))
+        new = new.select(F.col("leader").alias("a"), F.col("class").alias("b"))
+        links, labels = connected(links, labels, new, f"set-components-{round_}")
+    pairs = stage(open_pairs(lists, labels, nodes, similarity), "set-pairs")
+    spent.append(pairs)
+    if pairs.isEmpty():
+        return labels, spent
+    known = stage(derived(pairs, answers), "set-derived")
+    first, second = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in ("x", "y"))
+    fetched = pairs.join(known.select("x", "y"), ["x", "y"], "left_anti").join(first, "x").join(second, "y")
+    fetched = fetched.select("x", "y", "n_x", "n_y", common("tokens_x", "tokens_y").alias("overlap"))
+    late = known.unionByName(fetched).filter(alike(F.col("overlap"), F.col("n_x"), F.col("n_y"), similarity))
+    late = stage(late.select(F.col("x").alias("a"), F.col("y").alias("b")), "set-late")
+    return connected(links, labels, late, "set-components-last")[1], [*spent, known, late]
+
+
+def classes_of(linkable: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, text_key, n, set_hi, set_lo): classes of equal sets, the rows' classes, and links of classes of one id.
+
+    A class is represented by its smallest id. Everything is written: Spark splits the hot keys of a join of two scans.
+    """
+    same = ["set_hi", "set_lo", "n"]
+    rep = F.min(F.struct("id", "text_key")).alias("rep")
+    classes = linkable.groupBy(*same).agg(rep).select(*same, "rep.*", F.monotonically_increasing_id().alias("class"))
+    classes = stage(classes, f"{name}-classes")
+    members = linkable.select("id", *same).join(classes.select(*same, "class"), same).select("id", "n", "class")
+    members = stage(members, f"{name}-members")
+    per_id = members.groupBy("id").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
+    per_id = stage(per_id.select("id", "low"), f"{name}-ids")
+    links = members.join(per_id, "id").filter("class > low").select(F.col("low").alias("a"), F.col("class").alias("b"))
+    links = stage(links, f"{name}-links")
+    discard(per_id)
+    return classes, members, links
+
+
+def by_component(classes: DataFrame, members: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+    """(id, n, component_id) of every row: the smallest id among the classes that are connected with its own."""
+    of_class = labelled(classes.select("class", "id"), labels)
+    least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_class = stage(of_class.join(least, "component").select("class", "component_id"), f"{name}-labels")
+    return members.join(of_class, "class").select("id", "n", "component_id")
+
+
 def linked_sets(
     docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, text_column: str = "text", id_column: str = "doc_id"
 ) -> DataFrame:
@@ -254,45 +327,13 @@ def linked_sets(
     seen = stage(features(rows, words, similarity), "set-features")
     same = ["set_hi", "set_lo", "n"]
     linkable = seen.filter("n > 0 and id is not null")
-    # Written before joins: Spark splits hot keys of a join of two scans.
-    rep = F.min(F.struct("id", "text_key", "sparse")).alias("rep")
-    classes = linkable.groupBy(*same).agg(rep).select(*same, "rep.*", F.monotonically_increasing_id().alias("class"))
-    classes = stage(classes, "set-classes")
-    active = stage(possible_partners(classes, similarity).select("class", "n", "id", "text_key"), "set-active")
+    classes, members, links = classes_of(linkable, "set")
+    sparse = linkable.join(classes.select("class", "id", "text_key", *same), ["id", "text_key", *same]).dropDuplicates(["class"])
+    active = stage(possible_partners(sparse, similarity).select("class", "n", "id", "text_key"), "set-active")
     whole = rows.join(active, ["id", "text_key"]).select("class", "n", "text")
     whole = stage(whole_sets(whole, words).dropDuplicates(["class"]), "whole-sets")
-    nodes, sets = whole.drop("tokens"), whole.select("class", "n", "tokens")
-    lists = stage(index_lists(sets, similarity), "set-lists")
-    members = stage(linkable.select("id", *same).join(classes.select(*same, "class"), same).select("id", "n", "class"), "set-members")
-    spent = [active, whole, lists]
-    # Classes of one id are one document.
-    per_id = members.groupBy("id").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
-    per_id = stage(per_id.select("id", "low"), "set-ids")
-    links = stage(members.join(per_id, "id").filter("class > low").select(F.col("low").alias("a"), F.col("class").alias("b")), "set-links")
-    discard(per_id)
-    labels, answers = None if links.isEmpty() else components(links, "set-components"), None
-    for round_ in range(LEADER_ROUNDS):
-        found = led(lists, labels, nodes, sets, round_)
-        spent.append(found)
-        answers = found if answers is None else answers.unionByName(found)
-        overlap = F.col("n_class") - F.length("plus") / 8
-        links = links.unionByName(
-            found.filter(alike(overlap, F.col("n_class"), F.col("n_leader"), similarity)).select(F.col("leader").alias("a"), F.col("class").alias("b"))
-        )
-        labels = components(links, f"set-components-{round_}")
-    pairs = stage(open_pairs(lists, labels, nodes, similarity), "set-pairs")
-    known = stage(derived(pairs, answers), "set-derived")
-    first, second = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in ("x", "y"))
-    fetched = pairs.join(known.select("x", "y"), ["x", "y"], "left_anti").join(first, "x").join(second, "y")
-    fetched = fetched.select("x", "y", "n_x", "n_y", common("tokens_x", "tokens_y").alias("overlap"))
-    late = known.unionByName(fetched).filter(alike(F.col("overlap"), F.col("n_x"), F.col("n_y"), similarity))
-    links = links.unionByName(late.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    labels = components(links, "set-components-last")
-    of_class = classes.select("class", "id").join(labels.withColumnRenamed("id", "class"), "class", "left")
-    of_class = of_class.withColumn("component", F.coalesce("component", "class"))
-    least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_class = stage(of_class.join(least, "component").select("class", "component_id"), "set-labels")
-    linked = members.join(of_class, "class").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    others = stage(seen.filter("n = 0 or id is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")), "set-unlinked")
-    discard(*spent, pairs, known, seen, classes)
-    return linked.unionByName(others)
+    labels, spent = links_by_lists(whole, links, labels_of(links, "set-components"), similarity)
+    result = by_component(classes, members, labels, "set")
+    others = stage(seen.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")), "set-unlinked")
+    discard(*spent, active, whole, seen, classes)
+    return result.unionByName(others).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from auditframe.llm import minhash
+from auditframe.llm import minhash, set_join
+from auditframe.llm.sets import components
 
 WORDS = [f"w{i}" for i in range(500)]
 
@@ -83,7 +84,7 @@ def test_edge_cases(spark, edge, empty):
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
-    found = dict(tuple(r) for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    found = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert found == {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(40)}}
 
 
@@ -100,3 +101,29 @@ def test_whole_texts_in_chunks():
     keys = np.random.default_rng(1).integers(0, 2**64, 5000, np.uint64)
     low = (keys >> np.uint64(32)).astype(np.uint32)
     assert minhash.signature(keys, a, b).tolist() == [int((low * x + y).min()) for x, y in zip(a, b, strict=True)]
+
+
+def test_rows_of_one_id_keep_the_links_of_all_their_texts(spark):
+    a, x = ([f"{c}{i}" for i in range(12)] for c in "ax")
+    rows = [(1, " ".join(a[:10])), (1, " ".join(x[:8])), (2, " ".join(a[:11])), (3, " ".join(x[1:8]))]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]], [rows[2], rows[1], rows[3], rows[0]]):
+        found = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), words=2).collect()
+        assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 1}
+
+
+def test_a_shared_rare_passage_makes_no_pairs_in_the_square(spark, monkeypatch):
+    """Many texts on one template, hardly any linked: the pairs that are left to compare stay few."""
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(40)]
+    rows = [(i, " ".join(template + [f"o{rng.randrange(10**6)}" for _ in range(40)])) for i in range(300)]
+    counted, plain = [], set_join.open_pairs
+
+    def counting(*args):
+        pairs = plain(*args)
+        counted.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(set_join, "open_pairs", counting)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert all(r.kept for r in found)
+    assert sum(counted) <= len(rows)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from auditframe.llm import set_join
-from auditframe.llm.minhash import common
+from auditframe.llm.sets import common
 
 
 def shingle_set(text, words=3):
