@@ -135,7 +135,7 @@ def possible_partners(reps: DataFrame, similarity: int) -> DataFrame:
 
 
 def index_lists(sets: DataFrame, similarity: int) -> DataFrame:
-    """The lists of all tokens in prefixes that several classes have: token, block, class, n and place.
+    """The lists of all tokens in prefixes that several classes have: token, the one before it, block, class, n and place.
 
     Tokens found in one class only come first, then the rarer before the more frequent. A list is cut into blocks of
     sizes, each ``similarity`` of the next: linked sets are in one or in neighbouring blocks.
@@ -146,9 +146,11 @@ def index_lists(sets: DataFrame, similarity: int) -> DataFrame:
     met = each.join(several, "token").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("frequency", "token"))).alias("met"))
     own = F.col("n") - F.size("met")
     first = (prefix_length(F.col("n"), similarity) - own).cast("int")
-    heads = met.withColumn("own", own).filter(first > 0).select("class", "n", "own", F.posexplode(F.slice("met", F.lit(1), first)))
+    prefix = F.slice("met", F.lit(1), first)["token"]
+    follows = F.transform(prefix, lambda token, i: F.struct(token.alias("token"), F.get(prefix, i - 1).alias("before")))
+    heads = met.withColumn("own", own).filter(first > 0).select("class", "n", "own", F.posexplode(follows))
     block = F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity / 100)).cast("int")
-    return heads.select(F.col("col.token").alias("token"), block.alias("block"), "class", "n", (F.col("own") + F.col("pos")).alias("place"))
+    return heads.select("col.token", "col.before", block.alias("block"), "class", "n", (F.col("own") + F.col("pos")).alias("place"))
 
 
 def distance(one: str = "", other: str = "") -> Column:
@@ -194,7 +196,8 @@ def open_pairs(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame, sim
     """Pairs (x, y) of different components that lists, places, sizes and sketches do not exclude.
 
     The smaller set of a pair, x, must share a token so early that enough follow: later blocks of its places are
-    skipped, before any pair is made. Every linked pair of different components is among the result.
+    skipped, before any pair is made. Of tokens that follow one another in both sets only the first makes a pair: what
+    holds for it holds for the ones before. Every linked pair of different components is among the result.
     """
     current = labelled(lists, labels)
     several = current.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
@@ -208,7 +211,7 @@ def open_pairs(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame, sim
     fits = (
         (F.struct("x_n", "x") < F.struct("y_n", "y")) & (F.col("x_component") != F.col("y_component"))
         & (100 * F.col("x_n") >= similarity * F.col("y_n")) & ((100 + similarity) * rest >= similarity * sizes)
-        & (distance("x_", "y_") <= most_different(sizes, similarity))
+        & F.coalesce(F.col("x_before") != F.col("y_before"), F.lit(True)) & (distance("x_", "y_") <= most_different(sizes, similarity))
     )
     on = (F.col("x_token") == F.col("y_token")) & (F.col("x_block") == F.col("y_block"))
     return smaller.join(larger, on & fits).select("x", "y", F.col("x_n").alias("n_x"), F.col("y_n").alias("n_y")).distinct()
