@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import fixed_values as fixed
 from auditframe.functions.classify import any_case, any_of
-from auditframe.functions.text import SPACE, WORD, find_all, is_blank, let, lines, may_hold, strip, suffix
+from auditframe.functions.signatures import sections
+from auditframe.functions.text import (
+    SPACE,
+    WORD,
+    find_all,
+    is_blank,
+    let,
+    line_no_of,
+    line_text_of,
+    may_hold,
+    number_lines,
+    strip,
+    suffix,
+)
 
 # --- definitions ----------------------------------------------------------------------------------
 
@@ -110,11 +123,12 @@ def _positional_arguments(signature: Column) -> Column:
 def lint_issues(path: Column, text: Column, max_arguments: int = 5) -> Column:
     """Long parameter lists, missing docstrings and bare excepts of a Python file, by line.
 
-    Works on single-line signatures. A docstring is a quote on the next line that is neither blank nor a
+    A signature over several lines counts at its first. A docstring is a quote on the next line that is neither blank nor a
     comment; that neighbour is looked up in the array of the file's lines.
     """
-    numbered = F.transform(lines(text), lambda line, i: F.struct((i + 1).alias("no"), line.alias("text")))
-    telling = F.filter(numbered, lambda x: ~is_blank(x["text"]) & ~strip(x["text"]).startswith("#"))
+    rows = F.split(F.array_join(sections(number_lines(text)), ""), "\n", -1)
+    split = F.transform(rows, lambda row: F.struct(line_no_of(row).alias("no"), line_text_of(row).alias("text")))
+    telling = F.filter(split, lambda x: ~is_blank(x["text"]) & ~strip(x["text"]).startswith("#"))
 
     def of_rows(rows: Column) -> Column:
         def issues(row: Column, i: Column) -> Column:

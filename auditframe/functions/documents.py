@@ -14,7 +14,20 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import fixed_values as fixed
 from auditframe.functions.classify import any_case, claim_confidence, is_documentation
-from auditframe.functions.text import WORD, find_all, is_blank, let, lines, may_hold, strip, suffix
+from auditframe.functions.signatures import DEFINITION, sections
+from auditframe.functions.text import (
+    WORD,
+    find_all,
+    is_blank,
+    let,
+    line_no_of,
+    line_text_of,
+    lines,
+    may_hold,
+    number_lines,
+    strip,
+    suffix,
+)
 
 GENERAL = "General"
 
@@ -28,22 +41,6 @@ _RULE = r" {0,3}(?:[-_*][ \t]*){3,}$"
 _UNDERLINE = r" {0,3}(?:=+|-+)[ \t]*$"
 _UNDERLINED = rf"[0-9]+:(?!{_ITEM}|#{{1,6}} |{_RULE}|{_UNDERLINE}|{_GAP}$)[^\n]*\n[0-9]+:{_UNDERLINE}"
 _MARKDOWN_HEADING = rf"(?:[0-9]+:#{{1,3}} [^\n]*$|{_UNDERLINED})"
-_DEFINITION = r"[0-9]+:[ \t]*(?:def|class)[ \t]"
-
-
-def _numbered(text: Column) -> Column:
-    """The text with its line number in front of each line, so that parts of it keep their place."""
-    marked = F.transform(lines(text), lambda line, i: F.concat((i + 1).cast("string"), F.lit(":"), line))
-    return F.array_join(marked, "\n")
-
-
-def _line_no(line: Column) -> Column:
-    return F.substring_index(line, ":", 1).try_cast("int")
-
-
-def _line_text(line: Column) -> Column:
-    return F.substr(line, F.locate(":", line) + 1)
-
 
 # --- units of text --------------------------------------------------------------------------------
 
@@ -64,7 +61,7 @@ def text_units(text: Column) -> Column:
 
 
 def _sectioned(text: Column) -> Column:
-    numbered = _numbered(text)
+    numbered = number_lines(text)
     sections = F.split(numbered, f"(?dm)(?=^{_RST_HEADING})")
     # Only the first section can lack a heading.
     opens_headed = numbered.rlike(f"(?dm)\\A{_RST_HEADING}")
@@ -72,15 +69,15 @@ def _sectioned(text: Column) -> Column:
     def units(section: Column, section_no: Column) -> Column:
         headed = (section_no > 0) | opens_headed
         rows = F.filter(lines(section), lambda row: row != "")
-        context = F.when(headed, strip(_line_text(F.element_at(rows, 1)))).otherwise(GENERAL)
+        context = F.when(headed, strip(line_text_of(F.element_at(rows, 1)))).otherwise(GENERAL)
         body = F.when(headed, F.slice(rows, F.lit(2), F.size(rows))).otherwise(rows)
         return F.transform(
-            F.filter(body, lambda row: ~is_blank(_line_text(row))),
+            F.filter(body, lambda row: ~is_blank(line_text_of(row))),
             lambda row: F.struct(
                 section_no.alias("section_no"),
-                _line_no(row).alias("unit_no"),
-                _line_no(row).alias("line_number"),
-                _line_text(row).alias("text"),
+                line_no_of(row).alias("unit_no"),
+                line_no_of(row).alias("line_number"),
+                line_text_of(row).alias("text"),
                 context.alias("context"),
             ),
         )
@@ -98,7 +95,7 @@ def _fenced_apart(text: Column) -> Column:
 
     What is code follows from how many fences come before; one that stays open reaches to the end.
     """
-    numbered = _numbered(text)
+    numbered = number_lines(text)
     marked = F.transform(
         F.split(numbered, f"(?dm)^[0-9]+:{_FENCE}"),
         lambda piece, i: F.when(i % 2 == 0, piece).otherwise(F.regexp_replace(piece, "(?dm)^([0-9]+):", "$1;")),
@@ -125,7 +122,7 @@ def markdown_units(text: Column) -> Column:
         )
 
     def units(section: Column, section_no: Column) -> Column:
-        title = F.regexp_replace(_line_text(F.substring_index(section, "\n", 1)), "^#+|#+$", "")
+        title = F.regexp_replace(line_text(F.substring_index(section, "\n", 1)), "^#+|#+$", "")
         context = F.when(section.rlike(heading), strip(title)).otherwise(GENERAL)
         chunks = F.split(F.regexp_replace(section, heading, ""), f"(?dm)^(?:[0-9]+:{_GAP})?$")
         starts = f"(?dm)(?=^[0-9]+:(?:{_ITEM}|#{{4,6}} |{_RULE}))"
@@ -258,19 +255,19 @@ def html_units(html: Column) -> Column:
 
 
 def docstring_units(text: Column) -> Column:
-    """Docstrings of a module and of its functions and classes with single-line signatures."""
+    """Docstrings of a module and of its functions and classes."""
     quoted = '("""|\'\'\')(.*?)\\1'
     body = r"(?:\n[0-9]+:[ \t]*(?:#[^\n]*)?)*[rRuU]?" + quoted
-    of_definition = rf"(?s)\A{_DEFINITION}[^\n]*:[ \t]*{body}"
+    of_definition = rf"(?s)\A{DEFINITION}[^\n]*:[ \t]*{body}"
     of_module = rf"(?s)\A[0-9]+:(?:[ \t]*(?:#[^\n]*)?\n[0-9]+:)*[ \t]*[rRuU]?{quoted}"
-    sections = F.split(_numbered(text), f"(?dm)(?=^{_DEFINITION})")
+    split = sections(number_lines(text))
 
     def unit(section: Column, section_no: Column) -> Column:
-        defined = section.rlike(rf"\A{_DEFINITION}")
+        defined = section.rlike(rf"\A{DEFINITION}")
         found = F.when(defined, F.regexp_extract(section, of_definition, 2)).otherwise(
             F.regexp_extract(section, of_module, 2)
         )
-        line = F.when(defined, _line_no(section)).otherwise(0)
+        line = F.when(defined, line_no_of(section)).otherwise(0)
         return F.struct(
             section_no.alias("section_no"),
             F.lit(0).alias("unit_no"),
@@ -279,7 +276,7 @@ def docstring_units(text: Column) -> Column:
             F.lit("docstring").alias("context"),
         )
 
-    return F.filter(F.transform(sections, unit), lambda u: u["text"] != "")
+    return F.filter(F.transform(split, unit), lambda u: u["text"] != "")
 
 
 # --- claims ---------------------------------------------------------------------------------------

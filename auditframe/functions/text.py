@@ -48,6 +48,20 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def number_lines(text: Column) -> Column:
+    """The text with its line number in front of each line, so that parts of it keep their place."""
+    marked = F.transform(lines(text), lambda line, i: F.concat((i + 1).cast("string"), F.lit(":"), line))
+    return F.array_join(marked, "\n")
+
+
+def line_no_of(line: Column) -> Column:
+    return F.substring_index(line, ":", 1).try_cast("int")
+
+
+def line_text_of(line: Column) -> Column:
+    return F.substr(line, F.locate(":", line) + 1)
+
+
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     """All non-overlapping matches of ``pattern``, as an array of one group's texts."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))

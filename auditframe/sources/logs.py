@@ -185,25 +185,32 @@ def stdout_summary(stdout: Column, framework: Column) -> Column:
     """
     zero = F.lit(0).cast("bigint")
 
-    def number(name: str) -> Column:
-        found = F.when(F.lit(False), zero)
-        for runner, counts in fixed.STDOUT_COUNTS.items():
-            if name in counts:
-                found = found.when(
-                    framework == runner, first_match(stdout, ANY_CASE + counts[name]).try_cast("bigint")
-                )
-        return F.coalesce(found, zero)
-
-    def go_lines(pattern: str) -> Column:
-        return F.when(framework == "gotest", F.size(find_all(stdout, pattern))).otherwise(0)
-
-    passed = number("passed") + go_lines(fixed.GO_PASS_LINE)
-    failed = number("failed") + number("errors") + go_lines(fixed.GO_FAIL_LINE)
-    skipped = number("skipped")
-    stated = number("total")
-    total = F.when(stated == 0, passed + failed + skipped).otherwise(stated)
-    return F.struct(
-        total.alias("total"), passed.alias("passed"), failed.alias("failed"), skipped.alias("skipped")
-    )
+    def number(runner: str, name: str) -> Column:
+        pattern = fixed.STDOUT_COUNTS[runner].get(name)
+        if pattern is None:
+            return zero
+        # No match gives an empty text, which is no number either.
+        return F.coalesce(F.regexp_extract(stdout, ANY_CASE + pattern, 1).try_cast("bigint"), zero)
+
+    def matches(pattern: str) -> Column:
+        return F.coalesce(F.regexp_count(stdout, F.lit(pattern)).cast("bigint"), zero)
+
+    def counts(passed: Column, failed: Column, skipped: Column, stated: Column) -> Column:
+        return F.struct(
+            passed.alias("passed"), failed.alias("failed"), skipped.alias("skipped"), stated.alias("stated")
+        )
+
+    read = F.when(framework == "gotest", counts(matches(fixed.GO_PASS_LINE), matches(fixed.GO_FAIL_LINE), zero, zero))
+    for runner in fixed.STDOUT_COUNTS:
+        failed = number(runner, "failed") + number(runner, "errors")
+        found = counts(number(runner, "passed"), failed, number(runner, "skipped"), number(runner, "total"))
+        read = read.when(framework == runner, found)
+
+    def summed(n: Column) -> Column:
+        total = F.when(n["stated"] == 0, n["passed"] + n["failed"] + n["skipped"]).otherwise(n["stated"])
+        return F.struct(total.alias("total"), *[n[c].alias(c) for c in ("passed", "failed", "skipped")])
+
+    # A row goes through its own runner's patterns, each once.
+    return let(read.otherwise(counts(zero, zero, zero, zero)), summed)
 
 
