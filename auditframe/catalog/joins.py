@@ -44,6 +44,30 @@ def api_related_files(b: Bindings):
     return correlate.api_related_files(line_claims(b), correlate.symbols(b.code_files))
 
 
+@query(
+    "j1_api_claim_classes",
+    f"""
+    SELECT w.repo_id, w.claim_id, w.symbol, w.times, s.files, w.times * s.files AS links
+    FROM (SELECT repo_id, claim_id, symbol, count(*) AS times FROM ({_API_WORDS}) GROUP BY ALL) w
+    JOIN (SELECT repo_id, symbol, count(*) AS files FROM symbols GROUP BY ALL) s
+      ON w.repo_id = s.repo_id AND w.symbol = s.symbol""",
+    ("claims", "symbols"),
+)
+def api_claim_classes(b: Bindings):
+    return correlate.api_claim_classes(line_claims(b), correlate.symbols(b.code_files))
+
+
+@query(
+    "j1_api_class_files",
+    f"""
+    SELECT s.repo_id, s.symbol, s.path FROM symbols s
+    WHERE EXISTS (SELECT 1 FROM ({_API_WORDS}) w WHERE w.repo_id = s.repo_id AND w.symbol = s.symbol)""",
+    ("claims", "symbols"),
+)
+def api_class_files(b: Bindings):
+    return correlate.api_class_files(line_claims(b), correlate.symbols(b.code_files))
+
+
 _CODE = "(SELECT * FROM (SELECT * FROM files UNION ALL SELECT * FROM code_files) WHERE regexp_matches(path, '\\.(py|js|java|cpp|go)$'))"
 _STOP = ", ".join(f"'{w}'" for w in FEATURE_STOP_WORDS)
 _TOKENS = (

@@ -280,6 +280,22 @@ def docstrings(b: Bindings):
     return claims.docstrings(b.source_docs).select("path", "line_number", "text")
 
 
+@query(
+    "t10_signature_docstrings",
+    r"""
+    SELECT path, line_number, text FROM (
+        SELECT path, 1 AS line_number, regexp_extract(text, 'int\]:\n *"{3}([^"]*)"{3}', 1) AS text FROM signature_files
+        UNION ALL
+        SELECT path, 7, regexp_extract(text, '\n\):\n *"{3}([^"]*)"{3}', 1)
+        FROM signature_files)
+    WHERE text <> ''""",
+    ("signature_files",),
+)
+def signature_docstrings(b: Bindings):
+    """Signatures over several lines."""
+    return claims.docstrings(b.signature_files).select("path", "line_number", "text")
+
+
 @query("t11_symbols", "SELECT repo_id, path, symbol FROM symbols", ("symbols",))
 def symbols(b: Bindings):
     return correlate.symbols(b.code_files)
@@ -418,6 +434,22 @@ def line_lint(b: Bindings):
     return findings.lint_lines(b.source_docs).select("path", "line", "kind", "message")
 
 
+@query(
+    "t18_signature_lint",
+    r"""
+    SELECT path, 1 AS line, kind, concat('Function ''', regexp_extract(text, 'def (\w+)', 1), ''' ', said) AS message
+    FROM (SELECT path, text, 'too_many_arguments' AS kind, 'has 6 arguments (max recommended: 5)' AS said
+          FROM signature_files WHERE contains(text, 'f=0')
+          UNION ALL
+          SELECT path, text, 'missing_docstring', 'is missing a docstring' FROM signature_files
+          WHERE contains(text, 'return 1'))""",
+    ("signature_files",),
+)
+def signature_lint(b: Bindings):
+    """Signatures over several lines."""
+    return findings.lint_lines(b.signature_files).select("path", "line", "kind", "message")
+
+
 @query(
     "t19_benchmark_files",
     r"""

@@ -17,7 +17,7 @@ DEFINITION = r"[0-9]+:[ \t]*(?:def|class)[ \t]"
 
 _STRINGS = r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"[^\"\n]*\"|'[^'\n]*'"
 _COMMENT = r"#[^\n]*"
-_CONTINUED = r"\\\n[0-9]+:"
+_CONTINUED = r"\\\n[0-9]+:[ \t]*"
 # The last alternative takes quotes without a partner and lone backslashes.
 _TOKEN = rf"{_STRINGS}|{_COMMENT}|{_CONTINUED}|[\[({{\])}}]|[^\[({{\])}}\"'#\\]+|[\s\S]"
 

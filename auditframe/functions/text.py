@@ -62,6 +62,11 @@ def line_text_of(line: Column) -> Column:
     return F.substr(line, F.locate(":", line) + 1)
 
 
+def whole_number(text: Column, type: str) -> Column:
+    """``try_cast`` where most texts are no numbers: a cast that fails costs far more than a look at the start."""
+    return F.when(text.rlike(r"^[\x00-\x20]*[+-]?[0-9]"), text.try_cast(type))
+
+
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     """All non-overlapping matches of ``pattern``, as an array of one group's texts."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))

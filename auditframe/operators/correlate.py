@@ -54,6 +54,24 @@ def api_related_files(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> D
     return join_on(_api_words(claims, by), symbols.select(*by, "symbol", "path"), [*by, "symbol"])
 
 
+def api_claim_classes(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> DataFrame:
+    """The related files by class: per claim and word the class it points to, with its files and links.
+
+    All files that define one name are a class, named by it; ``api_class_files`` lists the members. Both are
+    linear in the words of the claims and in the definitions, where the pairs are their product, and together
+    they hold every link: a claim is related to each member of its classes, ``times`` times.
+    """
+    sizes = symbols.groupBy(*by, "symbol").agg(F.count("*").alias("files"))
+    hits = join_groups(_api_words(claims, by), sizes, [*by, "symbol"], how="inner")
+    return hits.withColumn("links", F.col("times") * F.col("files"))
+
+
+def api_class_files(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> DataFrame:
+    """Members of the classes that any claim points to, each once."""
+    named = _api_words(claims, by).select(*by, "symbol")
+    return join_on(symbols.select(*by, "symbol", "path"), named, [*by, "symbol"], how="left_semi")
+
+
 #: Characters that a keyword and a place in a word are joined on: the longer key where the keyword has it.
 SHORT_KEY, LONG_KEY = FEATURE_KEYWORD_LENGTH, 2 * FEATURE_KEYWORD_LENGTH
 

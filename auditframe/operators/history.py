@@ -270,7 +270,10 @@ def version_key(tag: Column) -> Column:
 
     def padded(run: Column) -> Column:
         number = F.regexp_replace(run, "^0+(?=[0-9])", "")
-        return F.concat(F.lpad(F.length(number).cast("string"), 4, "0"), number)
+        # The length goes first; one of more than four digits starts with the sign that follows nine.
+        length = F.length(number)
+        short, long = F.lpad(length.cast("string"), 4, "0"), F.concat(F.lit(":"), F.lpad(length.cast("string"), 10, "0"))
+        return F.concat(F.when(length <= 9999, short).otherwise(long), number)
 
     return rewrite_matches(tag, "[0-9]+", padded)
 

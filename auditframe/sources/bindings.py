@@ -263,6 +263,16 @@ VIEWS |= {
                       ELSE ' ValueError:' END, chr(10), '        pass', chr(10), 'class C', {_KEY}, ':', chr(10), chr(10),
                       '    # comment', chr(10), '    \"\"\"Handles 10 items.\"\"\"', chr(10)) AS text
         FROM {{part}}""",
+    # Definitions whose signatures run over several lines, with brackets in comments and strings.
+    "signature_files": f"""
+        SELECT {_PART_REPO} AS repo_id, concat('src/s', {_KEY}, '.py') AS path,
+               concat('def f', {_KEY}, '(', chr(10), '    a, b=(1, 2),  # first (of many', chr(10), '    c=\"x, (y\"',
+                      CASE WHEN p_size > 25 THEN ', d=None, e=[], f=0' ELSE ', *, k=1' END, chr(10), ') -> dict[str,', chr(10),
+                      '          int]:', chr(10),
+                      CASE WHEN p_size % 2 = 0 THEN concat('    \"\"\"Returns ', p_name, '.\"\"\"') ELSE '    return 1' END,
+                      chr(10), 'class C', {_KEY}, '(', chr(10), '    Base, metaclass=M', chr(10), '):', chr(10),
+                      '    \"\"\"Handles ', {_KEY}, ' items.\"\"\"', chr(10)) AS text
+        FROM {{part}}""",
     # Forty packages: what their documentation says, their code (half of them lack what is documented), their tests.
     "package_docs": """
         SELECT concat('pkg', CAST(p_partkey % 40 AS STRING)) AS repo_id, p_partkey AS claim_id,

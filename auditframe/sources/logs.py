@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions import fixed_values as fixed
-from auditframe.functions.text import ANY_CASE, SPACE, find_all, first_match, is_blank, let, lines, strip
+from auditframe.functions.text import ANY_CASE, SPACE, find_all, first_match, is_blank, let, lines, strip, whole_number
 from auditframe.operators.grouping import By, forward_fill
 
 # --- commit logs ----------------------------------------------------------------------------------
@@ -120,7 +120,7 @@ def complexity_lines(logs: DataFrame, column: str = "stdout") -> DataFrame:
     return exploded.select(
         *kept,
         "line_no",
-        F.col("p")[0].try_cast("int").alias("complexity"),
+        whole_number(F.col("p")[0], "int").alias("complexity"),
         F.col("p")[1].alias("package"),
         F.col("p")[2].alias("name"),
         F.substring_index(F.element_at("p", -1), ":", 1).alias("path"),
@@ -189,8 +189,9 @@ def stdout_summary(stdout: Column, framework: Column) -> Column:
         pattern = fixed.STDOUT_COUNTS[runner].get(name)
         if pattern is None:
             return zero
-        # No match gives an empty text, which is no number either.
-        return F.coalesce(F.regexp_extract(stdout, ANY_CASE + pattern, 1).try_cast("bigint"), zero)
+        # No match reads as 0. A cast that fails, as of an empty text, costs more than all patterns together.
+        digits = F.concat(F.lit("0"), F.regexp_extract(stdout, ANY_CASE + pattern, 1))
+        return F.coalesce(digits.try_cast("bigint"), zero)
 
     def matches(pattern: str) -> Column:
         return F.coalesce(F.regexp_count(stdout, F.lit(pattern)).cast("bigint"), zero)
