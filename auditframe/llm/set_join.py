@@ -331,12 +331,17 @@ def linked_sets(
     same = ["set_hi", "set_lo", "n"]
     linkable = seen.filter("n > 0 and id is not null")
     classes, members, links = classes_of(linkable, "set")
-    sparse = linkable.join(classes.select("class", "id", "text_key", *same), ["id", "text_key", *same]).dropDuplicates(["class"])
+    # One shuffle serves both the removal of repeated rows and the join. What comes of it is written, so that the
+    # two readers of its tokens have the same plan and share their partitioning.
+    once = linkable.dropDuplicates(["id", "text_key", *same])
+    sparse = once.join(classes.select("class", "id", "text_key", *same), ["id", "text_key", *same])
+    sparse = stage(sparse.select("class", "n", "id", "text_key", "sparse"), "set-sparse")
+    others = stage(seen.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")), "set-unlinked")
     active = stage(possible_partners(sparse, similarity).select("class", "n", "id", "text_key"), "set-active")
+    discard(seen, sparse)
     whole = rows.join(active, ["id", "text_key"]).select("class", "n", "text")
     whole = stage(whole_sets(whole, words).dropDuplicates(["class"]), "whole-sets")
     labels, spent = links_by_lists(whole, links, labels_of(links, "set-components"), similarity)
     result = by_component(classes, members, labels, "set")
-    others = stage(seen.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")), "set-unlinked")
-    discard(*spent, active, whole, seen, classes)
+    discard(*spent, active, whole, classes)
     return result.unionByName(others).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
