@@ -7,7 +7,7 @@ back instead of being spread by a window, and forward fills go by blocks of line
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,10 +48,19 @@ def join_groups(left: DataFrame, right: DataFrame, by: By, how: str = "left") ->
     return left.withColumn("__row", row).select(*left.columns, *added)
 
 
+def with_totals(df: DataFrame, sums: Mapping[str, str], by: By = ()) -> DataFrame:
+    """Add sums of a group to each of its rows, by the name of the new column; ``df`` is a table of counts.
+
+    Totals are joined back. Every row has its group's total, so the join is an inner one: both of its sides then ask
+    for the same rows of ``df``, and Spark runs the aggregate that makes them, scan and shuffle, only once.
+    """
+    totals = df.groupBy(*by).agg(*[F.sum(value).alias(name) for name, value in sums.items()])
+    return join_groups(df, totals, by, how="inner")
+
+
 def with_total(df: DataFrame, value: str, by: By = (), name: str = "total") -> DataFrame:
     """Add the group's sum of ``value`` to every row."""
-    totals = df.groupBy(*by).agg(F.sum(value).alias(name))
-    return join_groups(df, totals, by)
+    return with_totals(df, {name: value}, by)
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -164,15 +164,14 @@ def file_ownership(commit_files: DataFrame, k: int = 10, by: By = REPO) -> DataF
 def contributors(commits: DataFrame, as_of: str, by: By = REPO) -> DataFrame:
     """Commits per author in the last year, or of all time for repositories without any in it.
 
-    One pass counts both; the repository's recent total decides which one holds.
+    One pass counts recent and older commits apart; the repository's recent total decides whether the older ones go.
     """
     start = moment(as_of) - F.make_interval(years=F.lit(1))
-    counts = without_merges(commits).groupBy(*by, "author").agg(
-        F.count_if(F.col("ts") >= start).alias("recent"), F.count("*").alias("ever")
-    )
-    judged = with_total(counts, "recent", by, "recent_total")
-    commits_counted = F.when(F.col("recent_total") > 0, F.col("recent")).otherwise(F.col("ever"))
-    return judged.select(*by, "author", commits_counted.alias("commits")).filter(F.col("commits") > 0)
+    is_recent = F.coalesce(F.col("ts") >= start, F.lit(False)).alias("is_recent")
+    counts = without_merges(commits).groupBy(*by, "author", is_recent).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("recent", F.when(F.col("is_recent"), F.col("n")).otherwise(0))
+    judged = with_total(counts, "recent", by, "recent_total").filter(F.col("is_recent") | (F.col("recent_total") == 0))
+    return judged.groupBy(*by, "author").agg(F.sum("n").alias("commits"))
 
 
 def top_contributors(commits: DataFrame, as_of: str, k: int = 20, by: By = REPO) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 #: Where the tables lie that ``stage`` has written, by their frames.
 _STAGED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_OWNER: ContextVar[list[DataFrame] | None] = ContextVar("owner", default=None)
 
 
 def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -78,9 +81,27 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     df.write.partitionBy(*partition_by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _STAGED[table] = path
+    owner = _OWNER.get()
+    if owner is not None:
+        owner.append(table)
     return table
 
 
+@contextmanager
+def owned_stages() -> Iterator[None]:
+    """Tables staged inside belong to this block and are deleted at its end, also if it fails.
+
+    For work whose results are written inside the block; nothing may read the staged tables after it.
+    """
+    owned: list[DataFrame] = []
+    token = _OWNER.set(owned)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+        discard(*owned)
+
+
 def discard(*tables: DataFrame, part: str = "") -> None:
     """Delete staged tables, or one ``column=value`` part of them, that nothing will read any more."""
     for table in tables:
