@@ -12,6 +12,7 @@ from auditframe.operators.findings import union_all
 from auditframe.sources import files, logs, reports
 from auditframe.session import checkpoint_folder
 from auditframe.sources.bindings import Bindings
+from auditframe.streaming import arriving_logs, continuous
 
 
 def _list(values):
@@ -102,6 +103,30 @@ def commit_file_log(b: Bindings):
     return touched.select("log_id", "line_no", F.unix_seconds("ts").alias("epoch"), "path")
 
 
+@query(
+    "s4_arriving_log_parts",
+    """
+    SELECT log_id, epoch, line AS path
+    FROM (SELECT *, last_value(CASE WHEN contains(line, '|') THEN CAST(split_part(line, '|', 1) AS BIGINT) END IGNORE NULLS)
+                    OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch
+          FROM file_log_lines WHERE line <> '')
+    WHERE NOT contains(line, '|') AND epoch IS NOT NULL""",
+    ("file_log_lines",),
+)
+def arriving_log_parts(b: Bindings):
+    """The same logs written in parts, cut anywhere, and read as a stream that carries headers from part to part."""
+    name = f"log-parts-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(b.spark).rstrip('/')}/{name}"
+    # A range of lines per task: its files of the logs have names in the order of the ranges.
+    cut = b.file_log_lines.repartitionByRange("line_no").sortWithinPartitions("log_id", "line_no")
+    cut.select("log_id", "line").write.partitionBy("log_id").text(f"{folder}/in")
+    parts = arriving_logs.read_parts(b.spark, f"{folder}/in", parts_per_batch=None)
+    touched = arriving_logs.commit_files_of_parts(parts.withColumn("log_id", F.substring_index("log_id", "=", -1)))
+    continuous.write_stream(touched, f"{folder}/out", name).awaitTermination()
+    rows = b.spark.read.schema(arriving_logs.ROWS).parquet(f"{folder}/out")
+    return rows.select("log_id", F.unix_seconds("ts").alias("epoch"), "path")
+
+
 # --- tool reports ---------------------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from auditframe.operators.grouping import By
+from auditframe.plans.audit import AuditTables, audit
 from auditframe.plans.report import write_report
 from auditframe.session import owned_stages
 
@@ -68,6 +69,11 @@ def write_run(
     return run
 
 
+def audit_run(tables: AuditTables, folder: str, as_of: str, partition_by: By = (), **options) -> str:
+    """A whole audit as one run: its facts, verdicts and summary are staged for it and gone once it is written."""
+    return write_run(tables.files.sparkSession, folder, lambda: audit(tables, as_of, **options), partition_by)
+
+
 def read_run(spark: SparkSession, folder: str, run: str | None = None) -> dict[str, DataFrame]:
     """The tables of a finished run, by default of the newest, with the columns that were written."""
     folder = folder.rstrip("/")

@@ -21,11 +21,17 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 ROWS = "log_id string, part string, line_no bigint, ts timestamp, path string"
 
 
-def read_parts(spark: SparkSession, folder: str, parts_per_batch: int = 1000) -> DataFrame:
-    """``(log_id, part, text)`` of new files at ``folder``/log/part."""
+def read_parts(spark: SparkSession, folder: str, parts_per_batch: int | None = 1000) -> DataFrame:
+    """``(log_id, part, text)`` of new files at ``folder``/log/part; ``None`` takes all that are there as one batch.
+
+    Batches take files by their times, so times have to follow the names within a log. Sets the session's
+    state store to the one that such state needs.
+    """
     spark.conf.set(STATE_STORE, ROCKSDB)
     texts = spark.readStream.schema("value string").format("text").option("wholetext", True)
-    texts = texts.option("maxFilesPerTrigger", parts_per_batch).load(f"{folder.rstrip('/')}/*/*")
+    if parts_per_batch is not None:
+        texts = texts.option("maxFilesPerTrigger", parts_per_batch)
+    texts = texts.load(f"{folder.rstrip('/')}/*/*")
     names = F.split(F.col("_metadata.file_path"), "/")
     return texts.select(
         F.element_at(names, -2).alias("log_id"), F.element_at(names, -1).alias("part"), F.col("value").alias("text")

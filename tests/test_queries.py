@@ -24,7 +24,7 @@ def connection():
 def test_every_twin_has_a_query():
     assert ORACLES.keys() <= QUERIES.keys()
     assert QUERIES.keys() - ORACLES.keys() - training_data()[0].keys() == {
-        "t4_html_sections", "k1_report_document", "k2_markdown_report", "audit_flagship",
+        "k1_report_document", "k2_markdown_report", "audit_flagship",
     }
 
 

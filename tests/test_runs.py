@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from auditframe.operators import history, metrics
 from auditframe.operators.grouping import with_totals
 from auditframe.plans import runs
+from auditframe.plans.audit import AuditTables
+from auditframe.schemas import COMMIT_FILES, COMMITS, FUNCTION_METRICS, TAGS, TEST_RUNS
 from auditframe.session import checkpoint_folder, owned_stages, stage
 
 
@@ -103,3 +105,17 @@ def test_bus_factor_reads_commits_once(spark, tmp_path):
     moments.write.parquet(path)
     authors = history.contributors(spark.read.parquet(path), "2023-11-20")
     assert scans_run(history.bus_factor(authors))[0] == 1
+
+
+def test_an_audit_as_a_run(spark, project, tmp_path):
+    empty = [spark.createDataFrame([], schema) for schema in (COMMITS, COMMIT_FILES, TAGS)]
+    functions = spark.createDataFrame([("r", "main.py", "many", 10, 35)], FUNCTION_METRICS)
+    tests = spark.createDataFrame([("r", "python", "pytest", 1, "4 passed, 1 failed", "", None)], TEST_RUNS)
+    before = set(Path(checkpoint_folder(spark).removeprefix("file:")).iterdir())
+    runs.audit_run(AuditTables(project, *empty, functions, tests), str(tmp_path), "2024-06-30")
+    assert set(Path(checkpoint_folder(spark).removeprefix("file:")).iterdir()) == before
+    read = runs.read_run(spark, str(tmp_path))
+    row = read["summary"].first()
+    assert (row["failed"], row["gate_status"], row["has_history"]) == (1, 1, False)
+    assert {r["type"] for r in read["issues"].collect()} >= {"high_complexity", "test_failures"}
+    assert read["document"].count() == 1
