@@ -23,7 +23,8 @@ def interleave(
     Neither the ranks of a hot source nor the global order pass through one task: ranks are made within blocks of
     the hash, the order within blocks of the fraction, and only the sizes of blocks meet. Null sources form a
     source. ``tie`` orders rows of equal id; rows equal in it too are interchangeable. An empty table gives an
-    empty table. Input columns named ``shard`` or ``slot`` are replaced.
+    empty table. Equal texts are rows like any other: no group of them is kept together, so a group of any size spreads
+    over the shards and none grows by it. Input columns named ``shard`` or ``slot`` are replaced.
     """
     n = blocks(docs.sparkSession)
     source = F.col(f"`{source_column}`").cast("string")

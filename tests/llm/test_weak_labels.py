@@ -60,3 +60,80 @@ def test_query_against_labels(spark):
     known = spark.read.parquet(f"{folder}/labels.parquet").toPandas().merge(rows, on="doc_id")
     assert known[known["quality"] == 1]["kept"].mean() > 0.98
     assert (~known[known["quality"] == 0]["kept"]).mean() > 0.6
+
+
+def slow_votes(text: str | None) -> list[int]:
+    """Votes on one document, character by character."""
+    text = text or ""
+    words, values = text.split(), dict.fromkeys(weak_labels.MEASURES, 0.0)
+    if words:
+        spaces = "\t\n\v\f\r "
+        visible = [c for c in text if c not in spaces]
+        letters = [c for c in visible if (c.isascii() and c.isalpha()) or ord(c) >= 0xC0]
+        digits = [c for c in visible if c in "0123456789"]
+        plain = [c for c in visible if c in ".,;:!?'\"()-" or 0x80 <= ord(c) < 0xC0]
+        filled = [line for line in text.split("\n") if line != ""]
+        seen = max(1, len(visible))
+        values = {
+            "odd": (seen - len(letters) - len(digits) - len(plain)) / seen,
+            "again": sum(1 for a, b in zip(words, words[1:], strict=False) if a == b) / len(words),
+            "ends": sum(1 for a, b in zip(text, text[1:] + " ", strict=True) if a in ".!?" and b in spaces) / len(words),
+            "letters": len(letters) / seen,
+            "upper": sum(1 for c in letters if "A" <= c <= "Z") / max(1, len(letters)),
+            "length": len(visible) / len(words),
+            "lines": 1 - len(set(filled)) / max(1, len(filled)),
+            "digits": len(digits) / seen,
+        }
+    votes = []
+    for name, (low, high) in weak_labels.FAULTS.items():
+        votes.append(weak_labels.ABSTAIN if low <= values[name] <= high else weak_labels.BAD)
+    for ranges in weak_labels.VIRTUES.values():
+        inside = all(low <= values[name] <= high for name, (low, high) in ranges.items())
+        votes.append(weak_labels.GOOD if inside else weak_labels.ABSTAIN)
+    return votes
+
+
+def slow_posteriors(votes: list[list[int]]) -> list[float]:
+    """Expectation-maximisation document by document, without patterns or counts."""
+    labellers = range(len(weak_labels.LABELLERS))
+    right, prior, good = [0.9 for _ in labellers], 0.5, []
+    for _ in range(weak_labels.ROUNDS):
+        good = []
+        for row in votes:
+            yes, no = prior, 1 - prior
+            for i in labellers:
+                if row[i] != weak_labels.ABSTAIN:
+                    yes *= right[i] if row[i] == weak_labels.GOOD else 1 - right[i]
+                    no *= right[i] if row[i] == weak_labels.BAD else 1 - right[i]
+            good.append(yes / (yes + no))
+        for i in labellers:
+            cast = [(row[i], g) for row, g in zip(votes, good, strict=True) if row[i] != weak_labels.ABSTAIN]
+            correct = sum(g if v == weak_labels.GOOD else 1 - g for v, g in cast)
+            right[i] = min(0.999, max(0.6, (correct + 0.9) / (len(cast) + 1.0)))
+        prior = min(0.95, max(0.05, sum(good) / len(good)))
+    return good
+
+
+def test_against_brute_force(spark):
+    """All documents of a small table: the posterior of each equals that of a loop over the documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(1).selectExpr("-1L as doc_id", "* except (doc_id, text)", "string(null) as text"), allowMissingColumns=True)
+    rows = docs.select("doc_id", "text").collect()
+    wanted = dict(zip([r["doc_id"] for r in rows], slow_posteriors([slow_votes(r["text"]) for r in rows]), strict=True))
+    found = {r["doc_id"]: r["posterior"] for r in weak_labels.quality(docs).collect()}
+    assert found.keys() == wanted.keys()
+    assert max(abs(found[k] - wanted[k]) for k in wanted) < 1e-6
+
+
+def test_scorer_against_brute_force():
+    """Each score is the mean of the fitted weights over the words of the whole text, taken one by one."""
+    texts = ["Some words here. AGAIN again 12!", "x" * 5_000, "a b a b b b", "ÄÖ ünï 中文 ...", "", None]
+    scorer = weak_labels.fit([weak_labels.hashed(t or "") for t in texts], np.array([1.0, 0.0, 0.0, 1.0, 0.0, 0.0]))
+    scores = scorer(pd.Series(texts), weak_labels.Known(scorer.weights))
+    for text, score in zip(texts, scores, strict=True):
+        words, total = (text or "").split(), 0.0
+        for before, word in zip([None, *words], words, strict=False):
+            total += sum(scorer.weights[b] for b in weak_labels.buckets(word))
+            total += scorer.weights[weak_labels.AGAIN] if word == before else 0.0
+        direct = scorer.bias + weak_labels.SCALE * total / max(1, len(words))
+        assert np.isclose(score, 1 / (1 + np.exp(-direct)), atol=1e-9)
