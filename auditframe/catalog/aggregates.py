@@ -28,6 +28,7 @@ from auditframe.functions.fixed_values import (
 )
 from auditframe.operators import claims, correlate, discovery, findings, history, metrics, verdicts
 from auditframe.operators.findings import union_all
+from auditframe.session import stage
 from auditframe.sources.bindings import Bindings
 from auditframe.sources.files import documentation_files
 from auditframe.sources.reports import junit_suites, lint_messages, test_summary
@@ -472,7 +473,8 @@ def _advice_sql() -> str:
 @query("a16_verification_recommendations", _advice_sql(), CORRELATED_VIEWS)
 def verification_recommendations(b: Bindings):
     order = ["line_id", "claim_type", "pattern_no", "match_no"]
-    advised = verdicts.verification_recommendations(verdicts.with_strategy(correlated(b)), order)
+    claims_of_lines = stage(verdicts.with_strategy(correlated(b)), "correlated")
+    advised = verdicts.verification_recommendations(claims_of_lines, order)
     return advised.withColumn("examples", F.array_join("examples", " | "))
 
 

@@ -16,6 +16,8 @@ from auditframe.functions.fixed_values import (
 from auditframe.functions.text import WORD
 from auditframe.operators import claims, correlate, discovery, metrics
 from auditframe.operators.findings import union_all
+from auditframe.plans import audit
+from auditframe.session import stage
 from auditframe.sources.bindings import Bindings
 
 _API_WORDS = (
@@ -263,7 +265,7 @@ CORRELATED_VIEWS = ("claims", "symbols", "files", "code_files")
 
 
 def correlated(b: Bindings):
-    return correlate.correlate(line_claims(b), _code(b))
+    return audit.correlated_claims(line_claims(b), _code(b))
 
 
 @query(
@@ -274,9 +276,9 @@ def correlated(b: Bindings):
     CORRELATED_VIEWS,
 )
 def unrelated_claims(b: Bindings):
-    found = line_claims(b)
-    related = correlated(b).filter(F.col("related") > 0)
-    return correlate.unrelated_claims(found, related).select("repo_id", "claim_id", "claim_type")
+    found = stage(correlated(b), "correlated")
+    unrelated = correlate.unrelated_claims(found, found.filter(F.col("related") > 0))
+    return unrelated.select("repo_id", "claim_id", "claim_type")
 
 
 @query(

@@ -11,6 +11,7 @@ from auditframe.catalog.joins import CORRELATED_VIEWS, correlated
 from auditframe.catalog.registry import AS_OF_COMMITS, AS_OF_FILES, query, rounded, seconds
 from auditframe.functions.fixed_values import ABANDONED_SUFFIXES, EXCLUDED_PARTS, HISTORY_CODE_SUFFIXES
 from auditframe.operators import history, metrics, verdicts
+from auditframe.session import stage
 from auditframe.operators.findings import union_all
 from auditframe.sources.bindings import Bindings
 from auditframe.sources.files import without_excluded
@@ -268,5 +269,5 @@ def without_excluded_paths(b: Bindings):
 )
 def unverifiable_claims(b: Bindings):
     """All claims less the verifiable ones, as whole rows."""
-    claims = verdicts.with_strategy(correlated(b)).select("repo_id", "claim_id", "verifiable")
+    claims = stage(verdicts.with_strategy(correlated(b)).select("repo_id", "claim_id", "verifiable"), "correlated")
     return claims.exceptAll(claims.filter("verifiable")).drop("verifiable")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import fixed_values as fixed
 from auditframe.functions.classify import is_correlated_code
-from auditframe.functions.code import KEY_LENGTH, word_pieces
+from auditframe.functions.code import KEY_LENGTH
 from auditframe.functions.documents import api_words, feature_keywords
 from auditframe.functions.fixed_values import FEATURE_KEYWORD_LENGTH
 from auditframe.operators.facts import fact
@@ -88,7 +88,7 @@ def _places(pieces: DataFrame, length: int) -> DataFrame:
     return placed.select(*kept, key, F.substring(F.col("piece"), F.col("__start"), F.lit(KEY_LENGTH)).alias("ahead"))
 
 
-def keyword_files(files: DataFrame, keywords: DataFrame, by: By = REPO) -> DataFrame:
+def keyword_files(files: DataFrame, keywords: DataFrame, by: By = REPO, texts: DataFrame | None = None) -> DataFrame:
     """For each keyword the first code file that contains it, as a substring, in any case.
 
     A keyword consists of word characters, so it lies within one word of the text. The distinct words of
@@ -96,11 +96,14 @@ def keyword_files(files: DataFrame, keywords: DataFrame, by: By = REPO) -> DataF
     the keywords that may begin there, and the characters ahead decide. Short and longer keywords join on
     keys of their own, as many words share four characters but few share eight. Keywords longer than 32
     characters are decided in the files that hold their first 32.
+
+    ``files`` may be a table of facts; ``texts`` then are the files with their texts, which only those keywords need.
     """
     code = files.filter(is_correlated_code(F.col("path")))
+    texts = files if texts is None else texts
     wanted = keywords.select(*by, "keyword").distinct().withColumn("head", F.left("keyword", F.lit(KEY_LENGTH)))
     is_long = F.length("keyword") >= LONG_KEY
-    words = code.select(*by, "path", F.explode(word_pieces(F.col("text"), FEATURE_KEYWORD_LENGTH)).alias("piece"))
+    words = code.select(*by, "path", F.explode(fact(files, "word_pieces")).alias("piece"))
     # The first file alone decides short keywords; one that exceeds the stretch ahead may need another file.
     firsts = words.groupBy(*by, "piece").agg(F.min("path").alias("path"))
     decided = F.length("keyword") <= KEY_LENGTH
@@ -111,17 +114,18 @@ def keyword_files(files: DataFrame, keywords: DataFrame, by: By = REPO) -> DataF
         found = hits.select(*by, "keyword", "path") if found is None else found.unionByName(hits.select(*by, "keyword", "path"))
     anchored = wanted.filter(~decided).withColumn("key", F.left("keyword", F.lit(LONG_KEY)))
     candidates = join_on(_places(words, LONG_KEY), anchored, [*by, "key"]).filter(F.col("ahead") == F.col("head"))
-    verified = join_on(code.select(*by, "path", "text"), candidates.select(*by, "path", "keyword").distinct(), [*by, "path"])
+    held = texts.filter(is_correlated_code(F.col("path"))).select(*by, "path", "text")
+    verified = join_on(held, candidates.select(*by, "path", "keyword").distinct(), [*by, "path"])
     verified = verified.filter(F.lower("text").contains(F.col("keyword"))).select(*by, "keyword", "path")
     return found.unionByName(verified).groupBy(*by, "keyword").agg(F.min("path").alias("path"))
 
 
-def feature_related(claims: DataFrame, files: DataFrame, by: By = REPO) -> DataFrame:
+def feature_related(claims: DataFrame, files: DataFrame, by: By = REPO, texts: DataFrame | None = None) -> DataFrame:
     """Related files of feature claims: the first file for each of at most three keywords."""
     tokens = claims.filter(F.col("claim_type") == "feature").select(
         *by, *CLAIM, F.posexplode(feature_keywords(F.col("text"))).alias("ord", "keyword")
     )
-    hits = join_groups(tokens, keyword_files(files, tokens, by), [*by, "keyword"], how="inner")
+    hits = join_groups(tokens, keyword_files(files, tokens, by, texts), [*by, "keyword"], how="inner")
     listed = F.array_sort(F.collect_list(F.struct("ord", "path")))
     grouped = hits.groupBy(*by, *CLAIM).agg(F.count("*").alias("related"), listed.alias("l"))
     return grouped.select(*by, *CLAIM, "related", F.col("l.path").alias("related_code"))
@@ -155,11 +159,10 @@ def correlate(claims: DataFrame, files: DataFrame, texts: DataFrame | None = Non
 
     ``files`` may be a table of facts; ``texts`` then are the files with their texts.
     """
-    texts = files if texts is None else texts
     related = (
         api_related(claims, symbols(files, by), by)
         .select(*by, *CLAIM, "related")
-        .unionByName(feature_related(claims, texts, by).select(*by, *CLAIM, "related"))
+        .unionByName(feature_related(claims, files, by, texts).select(*by, *CLAIM, "related"))
         .unionByName(security_related(claims, files, by).select(*by, *CLAIM, "related"))
     )
     joined = join_groups(claims, related, [*by, *CLAIM])

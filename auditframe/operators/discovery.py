@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditframe.functions import fixed_values as fixed
 from auditframe.functions.classify import any_of, glob_matches
 from auditframe.functions.text import basename
-from auditframe.operators.grouping import By, join_groups, top_k
+from auditframe.operators.grouping import By, join_groups, top_k_distinct
 from auditframe.sources.reports import manifest_dependencies, uses_framework
 
 REPO = ("repo_id",)
@@ -23,7 +23,10 @@ def _indicated(path: Column, indicator: str) -> Column:
     return F.when(path == indicator, path)
 
 
-def _exploded(files: DataFrame, entries: list[tuple[tuple[str, ...], Column]], names: list[str], by: By) -> DataFrame:
+Entry = tuple[tuple[str, ...], Column]
+
+
+def _exploded(files: DataFrame, entries: list[Entry], names: list[str], by: By) -> DataFrame:
     """One row per file and entry that matches it, from one pass over the names."""
     structs = [
         F.when(
@@ -35,15 +38,28 @@ def _exploded(files: DataFrame, entries: list[tuple[tuple[str, ...], Column]], n
     return files.select(*by, F.inline(F.array_compact(F.array(*structs))))
 
 
-def framework_files(files: DataFrame, by: By = REPO) -> DataFrame:
-    """Files that indicate a test framework."""
+def _by_directories(files: DataFrame, entries: list[Entry], names: list[str], by: By) -> DataFrame:
+    """As ``_exploded``, but a directory, which each file below it reports, comes once and not once per file.
+
+    Only entries of directories, whose name ends in a slash, are made distinct; a task sends each of them at most once.
+    """
+    directories = [e for e in entries if e[0][-1].endswith("/")]
+    single = _exploded(files, [e for e in entries if not e[0][-1].endswith("/")], names, by)
+    return single.unionByName(_exploded(files, directories, names, by).distinct()) if directories else single
+
+
+def _framework_entries() -> list[Entry]:
     path = F.col("path")
-    entries = [
+    return [
         ((language, framework, indicator), _indicated(path, indicator))
         for (language, framework), indicators in fixed.TEST_INDICATORS.items()
         for indicator in indicators
     ]
-    return _exploded(files, entries, ["language", "framework", "indicator"], by)
+
+
+def framework_files(files: DataFrame, by: By = REPO) -> DataFrame:
+    """Files that indicate a test framework."""
+    return _exploded(files, _framework_entries(), ["language", "framework", "indicator"], by)
 
 
 def manifest_frameworks(files: DataFrame, by: By = REPO) -> DataFrame:
@@ -60,15 +76,11 @@ def manifest_frameworks(files: DataFrame, by: By = REPO) -> DataFrame:
 
 def test_frameworks(files: DataFrame, examples: int = 5, by: By = REPO) -> DataFrame:
     """Detected frameworks with up to ``examples`` files per indicator."""
-    found = framework_files(files, by).unionByName(manifest_frameworks(files, by))
-    # A directory indicator yields its own name once per file in it.
-    listed = top_k(
-        found.distinct(), examples, [F.asc("file")], [*by, "language", "framework", "indicator"]
-    )
-    names = F.transform(
-        F.array_sort(F.collect_list(F.struct("indicator", "rank", "file"))), lambda x: x["file"]
-    )
-    return listed.groupBy(*by, "language", "framework").agg(names.alias("files"))
+    names = ["language", "framework", "indicator"]
+    found = _by_directories(files, _framework_entries(), names, by).unionByName(manifest_frameworks(files, by))
+    listed = top_k_distinct(found, examples, "file", [*by, *names])
+    in_order = F.array_sort(F.collect_list(F.struct("indicator", "rank", "file")))
+    return listed.groupBy(*by, "language", "framework").agg(F.transform(in_order, lambda x: x["file"]).alias("files"))
 
 
 def detected_frameworks(files: DataFrame, by: By = REPO) -> DataFrame:
@@ -94,8 +106,8 @@ def coverage_artifacts(files: DataFrame, examples: int = 5, by: By = REPO) -> Da
         for language, patterns in fixed.COVERAGE_ARTIFACTS.items()
         for pattern in patterns
     ]
-    found = _exploded(files, entries, ["language", "pattern"], by).distinct()
-    return top_k(found, examples, [F.asc("file")], [*by, "language", "pattern"])
+    found = _by_directories(files, entries, ["language", "pattern"], by)
+    return top_k_distinct(found, examples, "file", [*by, "language", "pattern"])
 
 
 def benchmark_files(files: DataFrame, by: By = REPO) -> DataFrame:

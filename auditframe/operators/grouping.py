@@ -27,6 +27,17 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: By = (), rank: str
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def top_k_distinct(df: DataFrame, k: int, value: str, by: By, rank: str = "rank") -> DataFrame:
+    """The first k distinct values of each group, with their rank; ``df`` has no other columns.
+
+    Each task drops the rows beyond its own first k values before the shuffle (``WindowGroupLimit``), so distinct
+    values are not shuffled to be counted. Repeated rows of these k do pass: make values that repeat by construction
+    distinct before.
+    """
+    window = Window.partitionBy(*by).orderBy(F.asc(value))
+    return df.withColumn(rank, F.dense_rank().over(window)).filter(F.col(rank) <= k).distinct()
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: By, how: str = "inner") -> DataFrame:
     """Equi-join on columns both sides have; keys are never NULL (see ``schemas``).
 

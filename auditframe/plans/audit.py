@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditframe.functions.redact import redact_frame
 from auditframe.operators import claims as claims_of
 from auditframe.operators import correlate, discovery, findings, history, metrics, verdicts
-from auditframe.operators.facts import file_facts
+from auditframe.operators.facts import CODE_FACTS, file_facts
 from auditframe.operators.grouping import By
 from auditframe.plans import report, scoring
 from auditframe.schemas import named
@@ -21,6 +21,15 @@ from auditframe.sources.reports import test_summary
 REPO = ("repo_id",)
 
 
+def correlated_claims(claims: DataFrame, files: DataFrame, by: By = REPO) -> DataFrame:
+    """Claims with the number of their related files, for callers that have written neither claims nor facts.
+
+    Both are written first, so the tables behind them are read once, whatever the correlation asks of them.
+    """
+    facts = stage(file_facts(files, CODE_FACTS), "code-facts")
+    return correlate.correlate(stage(claims, "claims"), facts, files, by)
+
+
 @dataclass
 class AuditTables:
     """Input tables. ``tool_findings`` has the findings schema; it and ``test_runs`` may be missing."""
@@ -39,9 +48,10 @@ def audit(
 ) -> dict[str, DataFrame]:
     """All result tables, with texts redacted at ``level`` (``None`` leaves them as they are).
 
-    The texts are read twice: once for all facts of a file, which are written to the checkpoint folder
-    as everything else derives from them, and once for the words that features are looked up by. Claims
-    are written too, since verdicts, statistics and advice all need them. ``files_as_of`` is the "now" of the touched files where it differs.
+    The texts are read once, for all facts of a file, which are written to the checkpoint folder as everything else
+    derives from them; only files that may hold a keyword of more than 32 characters are looked at again. Claims are
+    written before they are correlated, and once more with their verdicts, since statistics and advice need those.
+    ``files_as_of`` is the "now" of the touched files where it differs.
     """
     pin_utc(tables.files.sparkSession)
     given = {f.name: getattr(tables, f.name) for f in fields(tables)}
@@ -50,7 +60,7 @@ def audit(
     names = tables.files.drop("text")
 
     # Claims and what stands behind them.
-    claims = claims_of.with_claim_id(claims_of.all_claims(facts, by))
+    claims = stage(claims_of.with_claim_id(claims_of.all_claims(facts, by)), "claims")
     related = correlate.correlate(claims, facts, tables.files, by)
     judged = stage(verdicts.verdicts(verdicts.with_strategy(related), names, by), "verdicts")
     references = claims_of.code_references(facts, by)
