@@ -184,3 +184,18 @@ def test_keys_stay_distinct(spark):
     ids = ["a" * 40, "b" * 40, "plain"]
     out = [r["id"] for r in redact.redact_frame(spark.createDataFrame([(i,) for i in ids], "id string"), "high", keys=("id",)).collect()]
     assert len(set(out)) == 3 and out[2] == "plain" and not set(out) & set(ids[:2])
+
+
+def test_a_text_is_searched_once_per_pattern(spark):
+    """Texts without the mark go through a pattern once, however often its matches are used."""
+    pattern = "[0-9]+x"
+    plan = spark.range(1).select(rewrite_matches(F.col("id").cast("string"), pattern, F.upper).alias("o"))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    # One search for marks; the gaps and the matches of texts that hold the mark.
+    assert text.count(pattern) == 3
+
+
+@pytest.mark.parametrize("text", ["1 a 22", "\x011 a\x01 22\x01", "\x01", "", "7", "a7\x017b", "none"])
+def test_rewritten_texts_may_hold_the_mark(spark, text):
+    got = apply(spark, lambda t: rewrite_matches(t, "[0-9]+", lambda m: F.concat(F.lit("<"), m, F.lit(">"))), text)
+    assert got == re.sub("[0-9]+", lambda m: f"<{m[0]}>", text)
