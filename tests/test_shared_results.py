@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditframe.operators import claims, correlate, discovery
 from auditframe.operators.grouping import top_k_distinct
 from auditframe.plans.audit import correlated_claims
+from auditframe.sources.bindings import Bindings
 
 LONG = "reconciles_" * 6 + "everything"
 
@@ -80,3 +81,14 @@ def test_examples_are_cut_before_the_shuffle(spark):
     covered = discovery.coverage_artifacts(files)
     assert covered.groupBy("language", "pattern").agg(F.max("rank").alias("n")).filter("n > 5").collect() == []
     assert covered.filter("pattern = 'htmlcov/'").select("file", "rank").collect() in ([], [("htmlcov", 1)])
+
+
+def test_short_rows_that_become_texts_are_dealt_out(spark, tmp_path):
+    """A table in one file of one row group still keeps all tasks of a shuffle busy with the texts made of it."""
+    source = spark.range(1000).selectExpr(
+        "id AS p_partkey", "'red widget' AS p_name", "'Brand#1' AS p_brand", "'STEEL' AS p_type", "1 AS p_size"
+    )
+    source.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    docs = Bindings(spark, str(tmp_path)).guide_docs.select(F.spark_partition_id().alias("p"), "path")
+    sizes = [r["n"] for r in docs.groupBy("p").agg(F.count("path").alias("n")).collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 8 and max(sizes) < 200
