@@ -15,6 +15,10 @@ from auditframe.sources.bindings import Bindings
 from auditframe.streaming import arriving_logs, continuous
 
 
+#: Lines of a part of an arriving log.
+LINES_OF_PART = 50_000
+
+
 def _list(values):
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -119,7 +123,9 @@ def arriving_log_parts(b: Bindings):
     folder = f"{checkpoint_folder(b.spark).rstrip('/')}/{name}"
     # A range of lines per task: its files of the logs have names in the order of the ranges.
     cut = b.file_log_lines.repartitionByRange("line_no").sortWithinPartitions("log_id", "line_no")
-    cut.select("log_id", "line").write.partitionBy("log_id").text(f"{folder}/in")
+    # Files end after so many lines that each fits a cell, however long its log is within the range.
+    parts = cut.select("log_id", "line").write.partitionBy("log_id").option("maxRecordsPerFile", LINES_OF_PART)
+    parts.text(f"{folder}/in")
     parts = arriving_logs.read_parts(b.spark, f"{folder}/in", parts_per_batch=None)
     touched = arriving_logs.commit_files_of_parts(parts.withColumn("log_id", F.substring_index("log_id", "=", -1)))
     continuous.write_stream(touched, f"{folder}/out", name).awaitTermination()

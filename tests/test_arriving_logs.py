@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import uuid
 from pathlib import Path
 
@@ -82,3 +83,17 @@ def test_a_part_out_of_order_ends_the_stream(spark, tmp_path):
     put(tmp_path / "in", "a", "1", ["y"])
     with pytest.raises(StreamingQueryException):
         drain(spark, tmp_path / "in", tmp_path / "out", name)
+
+
+def test_rows_hold_the_lines_of_one_header(spark, tmp_path):
+    """A part of many headers is taken apart once: work and rows are linear in its lines, not headers times lines."""
+    lines = ["lost.py", *[line for i in range(90_000) for line in (f"{i}|", f"p{i}.py")], "x|bad", "last.py"]
+    put(tmp_path / "in", "a", "0", lines)
+    started = time.monotonic()
+    drain(spark, tmp_path / "in", tmp_path / "out", uuid.uuid4().hex)
+    seconds = time.monotonic() - started
+    rows = spark.read.schema(arriving_logs.ROWS).parquet(str(tmp_path / "out"))
+    expected = [(2 * i + 2, i, f"p{i}.py") for i in range(90_000)] + [(180_002, 89_999, "last.py")]
+    got = rows.select("line_no", F.unix_seconds("ts"), "path").orderBy("line_no")
+    assert [tuple(r) for r in got.collect()] == expected
+    assert seconds < 50
