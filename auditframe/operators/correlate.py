@@ -16,7 +16,7 @@ from auditframe.functions.code import KEY_LENGTH
 from auditframe.functions.documents import api_words, feature_keywords
 from auditframe.functions.fixed_values import FEATURE_KEYWORD_LENGTH
 from auditframe.operators.facts import fact
-from auditframe.operators.grouping import By, join_groups, join_on
+from auditframe.operators.grouping import By, join_groups, join_large
 
 REPO = ("repo_id",)
 CLAIM = ("claim_id",)
@@ -43,7 +43,7 @@ def api_related(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> DataFra
     """
     defined = symbols.groupBy(*by, "symbol").agg(F.count("*").alias("files"), F.min("path").alias("first_file"))
     words = _api_words(claims, by)
-    hits = join_groups(words, defined, [*by, "symbol"], how="inner")
+    hits = join_large(words, defined, [*by, "symbol"])
     return hits.groupBy(*by, *CLAIM).agg(
         F.sum(F.col("times") * F.col("files")).alias("related"), F.min("first_file").alias("first_file")
     )
@@ -51,7 +51,7 @@ def api_related(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> DataFra
 
 def api_related_files(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> DataFrame:
     """The related files themselves, one row per claim, word and defining file."""
-    return join_on(_api_words(claims, by), symbols.select(*by, "symbol", "path"), [*by, "symbol"])
+    return join_large(_api_words(claims, by), symbols.select(*by, "symbol", "path"), [*by, "symbol"])
 
 
 def api_claim_classes(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> DataFrame:
@@ -62,14 +62,14 @@ def api_claim_classes(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> D
     they hold every link: a claim is related to each member of its classes, ``times`` times.
     """
     sizes = symbols.groupBy(*by, "symbol").agg(F.count("*").alias("files"))
-    hits = join_groups(_api_words(claims, by), sizes, [*by, "symbol"], how="inner")
+    hits = join_large(_api_words(claims, by), sizes, [*by, "symbol"])
     return hits.withColumn("links", F.col("times") * F.col("files"))
 
 
 def api_class_files(claims: DataFrame, symbols: DataFrame, by: By = REPO) -> DataFrame:
     """Members of the classes that any claim points to, each once."""
     named = _api_words(claims, by).select(*by, "symbol")
-    return join_on(symbols.select(*by, "symbol", "path"), named, [*by, "symbol"], how="left_semi")
+    return join_large(symbols.select(*by, "symbol", "path"), named, [*by, "symbol"], how="left_semi")
 
 
 #: Characters that a keyword and a place in a word are joined on: the longer key where the keyword has it.
@@ -110,12 +110,12 @@ def keyword_files(files: DataFrame, keywords: DataFrame, by: By = REPO, texts: D
     found = None
     for length, chosen in ((SHORT_KEY, ~is_long), (LONG_KEY, is_long & decided)):
         sought = wanted.filter(chosen).withColumn("key", F.left("keyword", F.lit(length)))
-        hits = join_on(_places(firsts, length), sought, [*by, "key"]).filter(F.col("ahead").startswith(F.col("keyword")))
+        hits = join_large(_places(firsts, length), sought, [*by, "key"]).filter(F.col("ahead").startswith(F.col("keyword")))
         found = hits.select(*by, "keyword", "path") if found is None else found.unionByName(hits.select(*by, "keyword", "path"))
     anchored = wanted.filter(~decided).withColumn("key", F.left("keyword", F.lit(LONG_KEY)))
-    candidates = join_on(_places(words, LONG_KEY), anchored, [*by, "key"]).filter(F.col("ahead") == F.col("head"))
+    candidates = join_large(_places(words, LONG_KEY), anchored, [*by, "key"]).filter(F.col("ahead") == F.col("head"))
     held = texts.filter(is_correlated_code(F.col("path"))).select(*by, "path", "text")
-    verified = join_on(held, candidates.select(*by, "path", "keyword").distinct(), [*by, "path"])
+    verified = join_large(held, candidates.select(*by, "path", "keyword").distinct(), [*by, "path"])
     verified = verified.filter(F.lower("text").contains(F.col("keyword"))).select(*by, "keyword", "path")
     return found.unionByName(verified).groupBy(*by, "keyword").agg(F.min("path").alias("path"))
 
@@ -125,7 +125,7 @@ def feature_related(claims: DataFrame, files: DataFrame, by: By = REPO, texts: D
     tokens = claims.filter(F.col("claim_type") == "feature").select(
         *by, *CLAIM, F.posexplode(feature_keywords(F.col("text"))).alias("ord", "keyword")
     )
-    hits = join_groups(tokens, keyword_files(files, tokens, by, texts), [*by, "keyword"], how="inner")
+    hits = join_large(tokens, keyword_files(files, tokens, by, texts), [*by, "keyword"])
     listed = F.array_sort(F.collect_list(F.struct("ord", "path")))
     grouped = hits.groupBy(*by, *CLAIM).agg(F.count("*").alias("related"), listed.alias("l"))
     return grouped.select(*by, *CLAIM, "related", F.col("l.path").alias("related_code"))
@@ -165,10 +165,10 @@ def correlate(claims: DataFrame, files: DataFrame, texts: DataFrame | None = Non
         .unionByName(feature_related(claims, files, by, texts).select(*by, *CLAIM, "related"))
         .unionByName(security_related(claims, files, by).select(*by, *CLAIM, "related"))
     )
-    joined = join_groups(claims, related, [*by, *CLAIM])
+    joined = join_large(claims, related, [*by, *CLAIM], how="left")
     return joined.fillna(0, ["related"])
 
 
 def unrelated_claims(claims: DataFrame, related: DataFrame, by: By = REPO) -> DataFrame:
     """Claims without any related code."""
-    return join_on(claims, related.select(*by, *CLAIM), [*by, *CLAIM], how="left_anti")
+    return join_large(claims, related.select(*by, *CLAIM), [*by, *CLAIM], how="left_anti")

@@ -92,3 +92,18 @@ def test_short_rows_that_become_texts_are_dealt_out(spark, tmp_path):
     docs = Bindings(spark, str(tmp_path)).guide_docs.select(F.spark_partition_id().alias("p"), "path")
     sizes = [r["n"] for r in docs.groupBy("p").agg(F.count("path").alias("n")).collect()]
     assert sum(sizes) == 1000 and len(sizes) == 8 and max(sizes) < 200
+
+
+def test_no_side_that_grows_passes_the_driver(spark, files, tmp_path):
+    """Joins of claims with code shuffle both sides, however small the files behind them look."""
+    code = files({"a.py": "def alpha(x):\n    return token", "b.js": "function alpha (a) { }"})
+    rows = [("r", "1", "api", "calls alpha"), ("r", "2", "feature", "exports token"), ("r", "3", "security", "a token")]
+    found = spark.createDataFrame(rows, "repo_id string, claim_id string, claim_type string, text string")
+    code.write.parquet(str(tmp_path / "code"))
+    found.write.parquet(str(tmp_path / "claims"))
+    related = correlate.correlate(spark.read.parquet(str(tmp_path / "claims")), spark.read.parquet(str(tmp_path / "code")))
+    plan = related._jdf.queryExecution().executedPlan().toString()
+    # Only the one row of keyword files per repository may be broadcast.
+    assert plan.count("BroadcastExchange") <= 1
+    assert plan.count("SortMergeJoin") >= 6
+    assert {r["claim_id"]: r["related"] for r in related.collect()} == {"1": 2, "2": 1, "3": 1}
