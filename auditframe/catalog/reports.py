@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.catalog.aggregates import (
@@ -45,10 +46,14 @@ _HISTORY = f"""
 _HISTORY_VIEWS = ("commits", "commit_files", "tags")
 
 
-def history_row(b: Bindings):
-    rows = history.history_summary(
+def whole_history(b: Bindings):
+    return history.history_summary(
         b.commits, b.commit_files, b.tags, AS_OF_COMMITS, files_as_of=AS_OF_FILES, churn_above=2
     )
+
+
+def history_row(b: Bindings, whole: DataFrame | None = None):
+    rows = whole_history(b) if whole is None else whole
     return rows.select(
         "repo_id", "repo_age_days", "total_commits", "features", "fixes", "tests", "breaking_changes", "bus_factor",
         "outdated_docs", "recent_features", "high_churn_files", "has_versions", "follows_semver",
@@ -103,15 +108,19 @@ def _lines(b: Bindings):
     return metrics.line_metrics(union_all([b.files, b.source_docs]))
 
 
-def summary_row(b: Bindings):
-    rollup = metrics.file_metrics(b.function_metrics, _lines(b))
+def summary_row(
+    b: Bindings, lines: DataFrame | None = None, rollup: DataFrame | None = None, whole: DataFrame | None = None
+):
+    """The summary row; line counts, file metrics and history may be given by a caller that needs them elsewhere too."""
+    lines = _lines(b) if lines is None else lines
+    rollup = metrics.file_metrics(b.function_metrics, lines) if rollup is None else rollup
     names = b.project_files
     frameworks = discovery.detected_frameworks(names).groupBy("repo_id").agg(F.count("*").alias("frameworks"))
-    git = history_row(b)
+    git = history_row(b, whole)
     return scoring.combine(
         names.select("repo_id").distinct(),
         [
-            metrics.summary_with_lines(rollup, _lines(b)),
+            metrics.summary_with_lines(rollup, lines),
             scoring.high_complexity(b.function_metrics),
             scoring.findings_summary(union_all([scanner_findings(b), type_findings(b)])),
             findings.test_totals(test_summary(b.test_runs)).drop("frameworks_used"),
@@ -320,8 +329,8 @@ def results_by_framework(b: Bindings):
     return report.test_results_by_framework(test_summary(b.test_runs))
 
 
-def git_block(b: Bindings):
-    rows = history.history_summary(b.commits, b.commit_files, b.tags, AS_OF_COMMITS, files_as_of=AS_OF_FILES, churn_above=2)
+def git_block(b: Bindings, whole: DataFrame | None = None):
+    rows = whole_history(b) if whole is None else whole
     return report.git_report(rows, history.top_contributors(b.commits, AS_OF_COMMITS), scoring.insights(rows))
 
 
@@ -346,10 +355,11 @@ def git_report(b: Bindings):
     )
 
 
-def _complexity_block(b: Bindings):
-    rollup = metrics.file_metrics(b.function_metrics, _lines(b))
+def _complexity_block(b: Bindings, lines: DataFrame | None = None, rollup: DataFrame | None = None):
+    lines = _lines(b) if lines is None else lines
+    rollup = metrics.file_metrics(b.function_metrics, lines) if rollup is None else rollup
     return report.complexity_report(
-        metrics.summary_with_lines(rollup, _lines(b)), metrics.complexity_distribution(b.function_metrics),
+        metrics.summary_with_lines(rollup, lines), metrics.complexity_distribution(b.function_metrics),
         metrics.top_complex_files(rollup),
     )
 
@@ -381,8 +391,14 @@ def complexity_report(b: Bindings):
 
 @query("k1_report_document")
 def report_document(b: Bindings):
-    """The whole report of each repository as one JSON text. Blocks are written one by one, as their plans are large."""
-    scored = stage(scoring.scored(summary_row(b)), "summary")
+    """The whole report of each repository as one JSON text. Blocks are written one by one, as their plans are large.
+
+    Line counts, file metrics and the history, which the summary and a block of their own need, are written before them.
+    """
+    lines = stage(_lines(b), "lines")
+    rollup = stage(metrics.file_metrics(b.function_metrics, lines), "file-metrics")
+    whole = stage(whole_history(b), "history")
+    scored = stage(scoring.scored(summary_row(b, lines, rollup, whole)), "summary")
     counts = issue_rows(b, scored).groupBy("repo_id").agg(
         F.count("*").alias("critical_issues"), F.count_if(F.col("severity") == "critical").alias("critical")
     )
@@ -391,8 +407,8 @@ def report_document(b: Bindings):
     contracts = b.tool_logs.groupBy("repo_id", "language").agg(F.array_sort(F.collect_set("tool")).alias("tools_used"))
     document = report.report_document(
         scored,
-        stage(_complexity_block(b), "complexity"),
-        stage(git_block(b), "git"),
+        stage(_complexity_block(b, lines, rollup), "complexity"),
+        stage(git_block(b, whole), "git"),
         metrics.report_languages(b.project_files.drop("text")),
         stage(counts, "issue-counts"),
         verification=[
