@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import early, named, seeded, unwrapped, wrapped
+from auditframe.llm.common import early, in_small_batches, named, seeded, unwrapped, wrapped
 
 UNKNOWN = "und"
 #: State units per direction, bytes per segment, segments read at once.
@@ -245,7 +245,7 @@ def identify(docs: DataFrame, net: Network, text_column: str = "text") -> DataFr
         share = pooled[np.arange(len(texts)), best] / np.maximum(pooled.sum(axis=1), 1e-12)
         return pd.DataFrame({"best": best.astype(np.int32), "share": np.minimum(share, 1.0)})
 
-    rows = wrapped(docs, text=named(text_column).cast("string")).withColumn("label", pooled_label("text"))
+    rows = in_small_batches(wrapped(docs, text=named(text_column).cast("string"))).withColumn("label", pooled_label("text"))
     sure = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(net.languages))
     known = F.array(*[F.lit(lang) for lang in net.languages or [UNKNOWN]])
     lang = F.when(sure, F.element_at(known, F.col("label.best") + 1)).otherwise(F.lit(UNKNOWN))

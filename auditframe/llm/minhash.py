@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditframe.llm.common import named
+from auditframe.llm.common import in_small_batches, named
 from auditframe.llm.set_join import by_component, classes_of, connected, labelled, labels_of, links_by_lists, whole_sets
 from auditframe.llm.sets import MIX, ODD, WordHashes, common, mixed, shingles
 from auditframe.session import discard, stage
@@ -79,7 +79,7 @@ def features(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
                 ["id", "text_key", "n", "set_hi", "set_lo", "signature", "band_keys"],
             )
 
-    return docs.mapInArrow(run, "id long, text_key long, n long, set_hi long, set_lo long, signature binary, band_keys array<long>")
+    return in_small_batches(docs).mapInArrow(run, "id long, text_key long, n long, set_hi long, set_lo long, signature binary, band_keys array<long>")
 
 
 @F.pandas_udf(T.IntegerType())

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import FLUSH_BYTES, blocks, default_tokenizer, hash_block, named, ranked, seeded, tokenizer, unwrapped, wrapped
+from auditframe.llm.common import FLUSH_BYTES, blocks, default_tokenizer, hash_block, in_small_batches, named, ranked, seeded, tokenizer, unwrapped, wrapped
 from auditframe.session import stage
 
 CAPACITY = 2048
@@ -209,7 +209,7 @@ def token_pieces(
         yield flush()
 
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return in_small_batches(rows).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
