@@ -53,12 +53,13 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get(SPREAD, None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def deal(df: DataFrame) -> DataFrame:
+def deal(df: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt out to as many tasks as a shuffle has, for short rows that each become much work.
 
     Splits follow the bytes of a table, so a table of a few short columns is one task's however many rows it has.
+    Rows dealt out by ``keys`` need no other shuffle to be joined on them, whatever is made of them in between.
     """
-    return df.repartition(task_count(df.sparkSession))
+    return df.repartition(task_count(df.sparkSession), *keys)
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
